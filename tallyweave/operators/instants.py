@@ -51,9 +51,9 @@ def _parts(s: Column) -> Column:
     rewrite = lambda notation: F.regexp_replace(s, *notation)
     fifth, second, third = (F.substring(s, k, 1) for k in (5, 2, 3))
     text = (
-        F.when(fifth.isin("-", "/"), rewrite(_ISO))
-        .when(second.isin("/") | third.isin("/"), rewrite(_SLASH))
-        .when(second.isin(".") | third.isin("."), rewrite(_DOT))
+        F.when((second == "/") | (third == "/"), rewrite(_SLASH))
+        .when((second == ".") | (third == "."), rewrite(_DOT))
+        .when(fifth.isin("-", "/"), rewrite(_ISO))
         .when(s.rlike(r"^\d{8}"), rewrite(_COMPACT))
         .when(s.rlike(r"^\d"), rewrite(_DAY_MONTH))
         .when(s.rlike(r"^[A-Za-z]+\.?,?\s+\d{1,2}[-\s]\s*[A-Za-z]"), rewrite(_DAY_MONTH))
