@@ -62,7 +62,7 @@ def catalogue(records: DataFrame) -> DataFrame:
     text, kind = F.col("text"), F.col("json_type")
     word = F.lower(F.btrim(text))
     inner = F.lower(text)
-    kind_inside = F.lit(r'"(?:' + "|".join(KIND_WORDS) + r')"')
+    kind_inside = r'"(?:' + "|".join(KIND_WORDS) + r')"'
     nested = kind.isin("object", "array")
     looks_date = (
         F.when(kind == "string", text.rlike(_DAY_TEXT)).when(kind == "number", text.rlike(_DAY_NUMBER)).when(nested, text.rlike(_DAY_NESTED) & ~text.rlike('"[^"]*"\\s*[,\\]]|:\\s*"'))
@@ -94,8 +94,8 @@ def deliveries(files: DataFrame) -> DataFrame:
 def meanings(cat: DataFrame, aliases: DataFrame) -> DataFrame:
     """(feed_id, name, field): what each key of a feed means; `cat` is the catalogue with feed_id.
 
-    A known alias means its field. An unknown name means the field that most of its values in the feed look like: texts
-    and nested values first, numbers only where the feed has no others. A name constant within every file that has
+    A known alias means its field. An unknown name means the field that most of its values in the feed look like (a party:
+    nine tenths of them): texts and nested values first, numbers only where the feed has no others. A name constant within every file that has
     several rows (a stamp), or one whose values mostly look like none of the fields, has no meaning.
     """
     known = aliases.select(folded(F.col("alias")).alias("name"), F.col("logical_field").alias("known")).groupBy("name").agg(F.min("known").alias("known"))
@@ -113,7 +113,8 @@ def meanings(cat: DataFrame, aliases: DataFrame) -> DataFrame:
     use = lambda f: F.when(F.col("pure") >= 3, F.col(f"pure_{f}")).otherwise(F.col(f"as_{f}"))
     total = F.when(F.col("pure") >= 3, F.col("pure")).otherwise(F.col("shaped") + F.col("numbers"))
     best = F.greatest(*(use(f) for f in FIELDS))
-    guess = F.when(best * 2 > total, F.when(best == use("kind"), "kind").when(best == use("date"), "date").otherwise("party"))
+    # Free texts often look like names; those of a party nearly always do.
+    guess = F.when(best * 2 > total, F.when(best == use("kind"), "kind").when(best == use("date"), "date").when(best * 10 > total * 9, "party"))
     # A stamp such as the day of export is the same in all rows of a file; kinds and parties may be so by chance.
     stamp = (guess == "date") & ~F.coalesce(F.col("varies"), F.lit(False)) & (F.col("longest") > 2)
     x = per_feed.join(F.broadcast(known), "name", "left")  # the alias table is fixed, a few dozen rows
@@ -131,7 +132,6 @@ def lifespans(records: DataFrame, files: DataFrame, aliases: DataFrame) -> DataF
     used = cat.join(mean, ["feed_id", "name"])
     types = ("array", "boolean", "number", "object", "string")
     per = used.groupBy("file_id", "field").agg(
-        F.max(F.struct("n_rows", F.lit(0))).alias("_"),
         F.min(F.struct((-F.col("n_rows")).alias("n"), "name")).alias("top"),
         *(F.sum(f"n_{t}").alias(t) for t in types),
     )

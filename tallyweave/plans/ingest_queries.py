@@ -2,16 +2,73 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.operators import instants
+from tallyweave.operators import badrows, drift, instants, nested
 from tallyweave.session import table
 
 
+def _feeds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, sf_dir, "feed_record"), table(spark, sf_dir, "ingest_file"), table(spark, sf_dir, "field_alias")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, field, change) of each file against its feed's previous period."""
+    return drift.changes(drift.lifespans(*_feeds(spark, sf_dir)))
+
+
+def p1_lifespans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Islands of equal name and type of each field of a feed."""
+    return drift.islands(drift.lifespans(*_feeds(spark, sf_dir)))
+
+
+def p1_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All feeds as one table with constant columns."""
+    return drift.unified(*_feeds(spark, sf_dir))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(report_id, run_no, result_no, rule_id, driver_name) of every result."""
+    results = nested.flat_table(table(spark, sf_dir, "finding_report"), "results")
+    return results.select("report_id", "run_no", "result_no", "rule_id", "driver_name")
+
+
+def _flat(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: nested.flat_table(table(spark, sf_dir, "finding_report"), name)
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return badrows.parse_records(table(spark, sf_dir, "raw_record"), table(spark, sf_dir, "ingest_file"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, line_no, reason) of every failed record."""
+    return badrows.failed(_records(spark, sf_dir))
+
+
+def p3_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The valid transactions of the delimited files."""
+    return badrows.valid(_records(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ingest_id, utc_micros) of every ingest row that names a moment."""
     return instants.ingest_instants(table(spark, sf_dir, "ingest"), table(spark, sf_dir, "ingest_file"))
 
 
-QUERIES = {"p4_found": p4_found}
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_lifespans": p1_lifespans,
+    "p1_table": p1_table,
+    "p2_found": p2_found,
+    "p2_runs": _flat("runs"),
+    "p2_rules": _flat("rules"),
+    "p2_results": _flat("results"),
+    "p2_locations": _flat("locations"),
+    "p3_found": p3_found,
+    "p3_valid": p3_valid,
+    "p4_found": p4_found,
+}
 ORACLE: dict[str, str] = {}
