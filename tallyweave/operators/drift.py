@@ -29,7 +29,7 @@ _NAME = r"^[\p{L}\p{M}'’.&,\- ]*\p{L}{2,}[\p{M}.,]*[ ,]+[&\p{L}][\p{L}\p{M}'
 
 def folded(key: Column) -> Column:
     """A key trimmed and in lower case."""
-    return F.lower(F.regexp_replace(key, r"^[\s ]+|[\s ]+$", ""))
+    return F.lower(F.regexp_replace(key, r"^[\s\u00a0]+|[\s\u00a0]+$", ""))
 
 
 def footer(records: DataFrame) -> DataFrame:

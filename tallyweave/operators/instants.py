@@ -72,7 +72,7 @@ def parse_local(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
     s, p = f"{prefix}s", f"{prefix}p"
     q = lambda k: F.get(F.col(p), F.lit(k))
     num = lambda c: F.when(c != "", c).try_cast("int")
-    df = df.withColumn(s, F.btrim(F.col(text), F.lit(" \t\r\n ")))
+    df = df.withColumn(s, F.btrim(F.col(text), F.lit(" \t\r\n\u00a0")))
     df = df.withColumn(p, F.when(~F.col(s).rlike(r"^(\d{10}|\d{13}|\d{16})$"), _parts(F.col(s))))
     year, month, hour = F.col(f"{prefix}y"), F.col(f"{prefix}m"), F.col(f"{prefix}h")
     day, minute, second = num(q(3)), num(q(5)), F.coalesce(num(q(6)), F.lit(0))

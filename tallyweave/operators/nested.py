@@ -122,7 +122,7 @@ def read_payload(payload: str | None) -> dict | None:
     if payload is None:
         return None
     try:
-        value = json.loads(payload.lstrip("﻿"), parse_constant=_no_constant)
+        value = json.loads(payload.lstrip("\ufeff"), parse_constant=_no_constant)
     except (ValueError, RecursionError):
         return None
     return value if isinstance(value, dict) else None
@@ -137,7 +137,8 @@ def flatten(report: dict, automaton: Automaton) -> dict[str, list[tuple]]:
         tool = _as_object(run.get("tool"))
         driver, extensions = _as_object(tool.get("driver")), _as_list(tool.get("extensions"))
         driver_name = _text(driver.get("name"))
-        out["runs"].append((run_no, driver_name, _text(driver.get("version")), f"runs_{automaton.state({k: v for k, v in run.items() if k in ('tool',)})}"))
+        kind = ("driver" if driver else "no_driver") + ("_extensions" if extensions else "")
+        out["runs"].append((run_no, driver_name, _text(driver.get("version")), kind))
         components = [_as_list(driver.get("rules")), *(_as_list(_as_object(x).get("rules")) for x in extensions)]
         for number, rules in enumerate(components):
             for rule_no, rule in enumerate(rules):
