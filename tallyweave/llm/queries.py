@@ -3,11 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyweave.llm import encode, lookalike, packing
+from tallyweave.llm import encode, entity_match, lookalike, packing
 from tallyweave.session import table
 
 
+def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(bank_id, book_id, confidence) of entries that record the same movement."""
+    found = entity_match.match(table(spark, sf_dir, "bank_entry"), table(spark, sf_dir, "book_entry"))
+    return found.select(F.col("id_a").alias("bank_id"), F.col("id_b").alias("book_id"), F.round("confidence", 6).alias("confidence"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entry_a, entry_b): entries that record the same movement, smaller id first."""
+    found = p5_matches(spark, sf_dir)
+    return found.select(F.least("bank_id", "book_id").alias("entry_a"), F.greatest("bank_id", "book_id").alias("entry_b"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ids) of every document by byte_bpe_50k."""
     return encode.encode_texts(table(spark, sf_dir, "documents"))
@@ -28,5 +41,5 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.one_form(table(spark, sf_dir, "documents")).select("doc_id", "form")
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_forms": p8_forms}
+QUERIES = {"p5_found": p5_found, "p5_matches": p5_matches, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_forms": p8_forms}
 ORACLE: dict[str, str] = {}
