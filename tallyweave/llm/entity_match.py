@@ -100,20 +100,23 @@ def set_phrases(one: DataFrame, other: DataFrame) -> list[str]:
 
 def with_names(df: DataFrame, phrases: list[str]) -> DataFrame:
     """Adds `names` (words of party and memo but set phrases), `keys` (first five letters, and sorted letters, of those of four
-    and more) and `firsts` (their first letters)."""
+    and more), `ends` (their first two letters, and their first with their last letter) and `words` (those of five and more)."""
     names = F.array_except(F.array_union("who", "said"), F.array(*(F.lit(w) for w in phrases)) if phrases else F.array().cast("array<string>"))
     long = F.filter("names", lambda w: F.length(w) >= 4)
     letters = F.transform(long, lambda w: F.concat(F.lit("~"), F.array_join(F.array_sort(F.split(w, "(?!^)")), "")))
-    df = df.withColumn("names", names).withColumn("firsts", F.array_distinct(F.transform(long, lambda w: F.substring(w, 1, 1))))
+    ends = F.array_union(F.transform(long, lambda w: F.substring(w, 1, 2)), F.transform(long, lambda w: F.concat(F.substring(w, 1, 1), F.lit("."), F.right(w, F.lit(1)))))
+    df = df.withColumn("names", names).withColumns({"ends": F.array_distinct(ends), "words": F.filter("names", lambda w: F.length(w) >= 5)})
     return df.withColumn("keys", F.array_distinct(F.array_union(F.transform(long, lambda w: F.substring(w, 1, 5)), letters)))
 
 
 def _likeness(a: Column, b: Column) -> Column:
     """Likeness of two words: equal 1, one beginning with the other 0.95 (initials, cut words), five common first letters 0.9,
-    the same letters with two swapped 0.9, else by edits."""
+    the same letters with two swapped 0.9, else by edits in the whole words or in their first six letters."""
     sort = lambda w: F.array_sort(F.split(w, "(?!^)"))
     count = F.levenshtein(a, b)
-    edits = F.lit(1.0) - count / F.greatest(F.length(a), F.length(b))
+    head = F.least(F.length(a), F.length(b), F.lit(6))
+    heads = F.lit(0.95) * (F.lit(1.0) - F.levenshtein(F.substring(a, F.lit(1), head), F.substring(b, F.lit(1), head)) / head)
+    edits = F.greatest(F.lit(1.0) - count / F.greatest(F.length(a), F.length(b)), F.when(head >= 5, heads))
     return (
         F.when(a == b, 1.0)
         .when(a.startswith(b) | b.startswith(a), 0.95)
@@ -163,7 +166,7 @@ def links(a: DataFrame, b: DataFrame) -> DataFrame:
     Evidence is counted over all pairs that share amount, days and either a name or a reference number; places are linked
     if a tenth of the evidence of the one with less of it supports the link, twice at least.
     """
-    ka, kb = (x.filter("place is not null").select("id", "day", "amount", F.explode(F.array_union("keys", F.transform("refs", lambda r: F.concat(F.lit("#"), r)))).alias("k")) for x in (a, b))
+    ka, kb = (x.filter("place is not null").select("id", "day", "amount", F.explode(F.array_union("words", F.transform("refs", lambda r: F.concat(F.lit("#"), r)))).alias("k")) for x in (a, b))
     pairs = _pairs(ka, kb, ["amount", "k"]).distinct()
     counts = pairs.join(a.select(F.col("id").alias("id_a"), F.col("place").alias("place_a")), "id_a").join(b.select(F.col("id").alias("id_b"), F.col("place").alias("place_b")), "id_b").groupBy("place_a", "place_b").agg(F.count("*").alias("n"))
     wa, wb = Window.partitionBy("place_a"), Window.partitionBy("place_b")
@@ -185,17 +188,20 @@ def candidates(a: DataFrame, b: DataFrame, linked: DataFrame) -> DataFrame:
     """(id_a, id_b), distinct: pairs that agree in one of the partial keys."""
     # The other source's entries, seen from the linked places.
     seen = b.join(linked, b.place == linked.place_b).drop("place").withColumnRenamed("place_a", "place")
-    ka, kb = (x.withColumn("k", F.explode("keys")) for x in (a, b))
-    ra, rb, rl = (x.withColumn("k", F.explode("refs")) for x in (a, b, seen))
+    # Where an entry's place is missing or linked to none, amounts meet through names and numbers alone.
+    lost_a = a.join(linked.select(F.col("place_a").alias("place")).distinct(), "place", "left_anti")
+    lost_b = b.join(linked.select(F.col("place_b").alias("place")).distinct(), "place", "left_anti")
+    ra, rl = (x.withColumn("k", F.explode("refs")) for x in (a, seen))
+    signs = lambda df: df.select("id", "day", "amount", F.explode(F.array_union("keys", F.transform("refs", lambda r: F.concat(F.lit("#"), r)))).alias("k"))
     slim = lambda df, *c: df.select("id", "day", *c)
     digits = lambda df: slim(df.withColumn("d", _digits(F.col("amount"))), "place", "d")
     band = lambda df: df.withColumn("d", _band(F.col("amount")))
     around = lambda df: band(df).withColumn("d", F.explode(F.array(F.col("d") - 2, F.col("d"), F.col("d") + 2)))
-    fa, fl = (x.withColumn("f", F.explode("firsts")) for x in (a, seen))
+    fa, fl = (x.withColumn("f", F.explode("ends")) for x in (a, seen))
     found = [
         _pairs(slim(a, "place", "amount"), slim(seen, "place", "amount"), ["place", "amount"]),
-        _pairs(slim(ka, "amount", "k"), slim(kb, "amount", "k"), ["amount", "k"]),
-        _pairs(slim(ra, "amount", "k"), slim(rb, "amount", "k"), ["amount", "k"]),
+        _pairs(signs(lost_a), signs(b), ["amount", "k"]),
+        _pairs(signs(a), signs(lost_b), ["amount", "k"]),
         _pairs(slim(ra, "place", "k"), slim(rl, "place", "k"), ["place", "k"]),
         _pairs(digits(a), digits(seen), ["place", "d"]),
         _pairs(slim(band(fa), "place", "f", "d"), slim(around(fl), "place", "f", "d"), ["place", "f", "d"]),
