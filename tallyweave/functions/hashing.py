@@ -35,6 +35,9 @@ def _rotations() -> dict[tuple[int, int], int]:
 
 _CONSTANTS, _ROTATIONS = [np.uint64(c) for c in _round_constants()], _rotations()
 
+#: Where each lane x + 5 y goes, and by how many bits it is turned.
+_MOVES = [(x + 5 * y, y + 5 * ((2 * x + 3 * y) % 5), n) for (x, y), n in _ROTATIONS.items()]
+
 
 def _turn(v: np.ndarray, n: int) -> np.ndarray:
     return v if not n else (v << np.uint64(n)) | (v >> np.uint64(64 - n))
@@ -54,8 +57,38 @@ def _permute(s: np.ndarray) -> None:
         s[0, 0] ^= constant
 
 
+_ONES = (1 << 64) - 1
+#: Up to so many messages are hashed one by one on Python's integers, beyond it is faster to permute them together.
+FEW = 6
+
+
+def _keccak_one(message: bytes) -> bytes:
+    """Keccak-256 of one message; lanes are integers, indexed x + 5 y."""
+    data = bytearray(message) + b"\0" * (RATE - len(message) % RATE)
+    data[len(message)] ^= 1
+    data[-1] ^= 0x80
+    a = [0] * 25
+    for start in range(0, len(data), RATE):
+        for k in range(RATE // 8):
+            a[k] ^= int.from_bytes(data[start + 8 * k : start + 8 * k + 8], "little")
+        for constant in _CONSTANTS:
+            c = [a[x] ^ a[x + 5] ^ a[x + 10] ^ a[x + 15] ^ a[x + 20] for x in range(5)]
+            d = [c[x - 1] ^ ((c[(x + 1) % 5] << 1 | c[(x + 1) % 5] >> 63) & _ONES) for x in range(5)]
+            b = [0] * 25
+            for k, to, turn in _MOVES:
+                v = a[k] ^ d[k % 5]
+                b[to] = (v << turn | v >> (64 - turn)) & _ONES
+            for y in range(0, 25, 5):
+                p, q, r, s, t = b[y : y + 5]
+                a[y : y + 5] = p ^ (~q & r), q ^ (~r & s), r ^ (~s & t), s ^ (~t & p), t ^ (~p & q)
+            a[0] ^= int(constant)
+    return b"".join(v.to_bytes(8, "little") for v in a[:4])
+
+
 def keccak_many(messages: list[bytes]) -> list[bytes]:
     """Keccak-256 (the padding of 2011, not that of SHA-3) of each message; messages of as many blocks are permuted together."""
+    if len(messages) <= FEW:
+        return [_keccak_one(m) for m in messages]
     out: list[bytes] = [b""] * len(messages)
     groups: dict[int, list[int]] = {}
     for i, m in enumerate(messages):

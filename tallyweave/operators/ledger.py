@@ -137,7 +137,7 @@ def match_splits(single: DataFrame, parts: DataFrame, days: int = 3, most_parts:
                     if abs(s + v) < abs(total):
                         grown.append(((*ids, part), s + v, k + 1))
             level = grown
-        return pd.DataFrame({"id": [], "part_ids": []})
+        return pd.DataFrame({"id": pd.Series([], dtype=pdf["id"].dtype), "part_ids": pd.Series([], dtype=object)})
 
     kind = single.schema["id"].dataType.simpleString()
     found = pool.groupBy("id").applyInPandas(solve, f"id {kind}, part_ids array<{kind}>")

@@ -106,29 +106,50 @@ def _split(n: int) -> int:
 
 def log_root(leaves: list[bytes]) -> bytes:
     """Root of the ordered tree; a constant for no leaves."""
-    if not leaves:
-        return EMPTY_ROOT
-    # Complete subtrees, largest first, are merged from the right at the end: no recursion, each level hashed at once.
-    layer, roots = keccak_many([LEAF_TAG + x for x in leaves]), []
-    while layer:
-        if len(layer) % 2:
-            roots.append(layer.pop())
-        layer = keccak_many([NODE_TAG + layer[k] + layer[k + 1] for k in range(0, len(layer), 2)]) if layer else []
-    node = roots[0]
-    for left in roots[1:]:
-        node = keccak_many([NODE_TAG + left + node])[0]
-    return node
-
-
-def inclusion_path(leaves: list[bytes], index: int) -> list[bytes]:
-    """Siblings of leaf `index` from bottom to top."""
-    out: list[bytes] = []
-    while len(leaves) > 1:
-        k = _split(len(leaves))
-        left, right = leaves[:k], leaves[k:]
-        out.append(log_root(right if index < k else left))
-        leaves, index = (left, index) if index < k else (right, index - k)
-    return out[::-1]
+    return Log(leaves).root(0, len(leaves))
+
+
+class Log:
+    """An ordered tree with its complete subtrees at hand: `layers[k][i]` is the root of leaves i 2^k to (i + 1) 2^k."""
+
+    def __init__(self, leaves: list[bytes]) -> None:
+        self.size, self.layers = len(leaves), [keccak_many([LEAF_TAG + x for x in leaves])]
+        while len(self.layers[-1]) > 1:
+            low = self.layers[-1]
+            self.layers.append(keccak_many([NODE_TAG + low[k] + low[k + 1] for k in range(0, len(low) - 1, 2)]))
+
+    def root(self, start: int, end: int) -> bytes:
+        """Root of the leaves from `start` to `end`, a node of the tree; of none the constant."""
+        if start == end:
+            return EMPTY_ROOT
+        n = end - start
+        if not n & (n - 1):
+            k = n.bit_length() - 1
+            return self.layers[k][start >> k]
+        k = start + _split(n)
+        return keccak_many([NODE_TAG + self.root(start, k) + self.root(k, end)])[0]
+
+    def inclusion(self, index: int) -> list[bytes]:
+        """Siblings of leaf `index` from bottom to top."""
+        out, start, end = [], 0, self.size
+        while end - start > 1:
+            k = start + _split(end - start)
+            out.append(self.root(k, end) if index < k else self.root(start, k))
+            start, end = (start, k) if index < k else (k, end)
+        return out[::-1]
+
+    def consistency(self, first: int) -> list[bytes]:
+        """Nodes that show the tree of the `first` leaves to be a prefix of the tree of all."""
+
+        def walk(start: int, end: int, whole: bool) -> list[bytes]:
+            if first == end:
+                return [] if whole else [self.root(start, end)]
+            k = start + _split(end - start)
+            if first <= k:
+                return [*walk(start, k, whole), self.root(k, end)]
+            return [*walk(k, end, False), self.root(start, k)]
+
+        return walk(0, self.size, True) if 0 < first <= self.size else []
 
 
 def inclusion_holds(leaf: bytes, index: int, size: int, path: list[bytes], root: bytes) -> bool:
@@ -149,20 +170,6 @@ def inclusion_holds(leaf: bytes, index: int, size: int, path: list[bytes], root:
     return not last and node == root
 
 
-def consistency_path(leaves: list[bytes], first: int) -> list[bytes]:
-    """Nodes that show the tree of the `first` leaves to be a prefix of the tree of all."""
-
-    def walk(part: list[bytes], m: int, whole: bool) -> list[bytes]:
-        if m == len(part):
-            return [] if whole else [log_root(part)]
-        k = _split(len(part))
-        if m <= k:
-            return [*walk(part[:k], m, whole), log_root(part[k:])]
-        return [*walk(part[k:], m - k, False), log_root(part[:k])]
-
-    return walk(leaves, first, True) if 0 < first <= len(leaves) else []
-
-
 def consistency_holds(first: int, second: int, path: list[bytes], first_root: bytes, second_root: bytes) -> bool:
     """Whether `path` shows the tree (first, first_root) to be a prefix of (second, second_root)."""
     if not 0 <= first <= second:
@@ -215,8 +222,8 @@ def log_prefixes(rows: DataFrame, group: str, seq: str, leaf: str, first: Callab
 
     def prove(key: tuple, table: pa.Table) -> pa.Table:
         leaves = table.sort_by([("seq", "ascending")]).column("leaf").to_pylist()
-        m = first(len(leaves))
-        holds = consistency_holds(m, len(leaves), consistency_path(leaves, m), log_root(leaves[:m]), log_root(leaves))
+        m, log = first(len(leaves)), Log(leaves)
+        holds = consistency_holds(m, len(leaves), log.consistency(m), log_root(leaves[:m]), log.root(0, len(leaves)))
         return pa.table({"g": [key[0].as_py()], "first": [m], "second": [len(leaves)], "holds": [holds]})
 
     slim = rows.select(F.col(group).alias("g"), F.col(seq).alias("seq"), F.col(leaf).alias("leaf"))

@@ -110,23 +110,29 @@ def at_least(records: DataFrame, n: int) -> DataFrame:
 def lineage(records: DataFrame, starts: DataFrame, most: int = 256) -> DataFrame:
     """(start, depth, content_hash, parent, capped) of each start's ancestors, itself at depth 0, up to a root or `most` records.
 
-    All starts walk at once: the k-th round joins the records at hand to their parents, so a walk of depth d costs d
-    equi-joins whatever the number of starts. A hash met before on the same walk ends it. Unknown starts give no rows.
+    Pointer doubling: round k knows each record's ancestor 2^k steps up and doubles the depth of every walk, so walks of
+    depth d cost log2(d) rounds of equi-joins whatever the number of starts. A hash met before on a walk ends it. Unknown
+    starts give no rows; of records with equal hashes the one with the least index counts.
     """
-    edges = checkpointed(records.select(F.lower("content_hash").alias("content_hash"), F.lower(F.coalesce("parent", F.lit(ZERO))).alias("parent")).dropDuplicates(["content_hash"]))
-    here = starts.select(F.lower("start").alias("start")).distinct().withColumn("content_hash", F.col("start"))
-    here = checkpointed(here.join(edges, "content_hash").select("start", F.lit(0).alias("depth"), "content_hash", "parent", F.array("content_hash").alias("_seen")))
-    levels = []
-    for depth in range(most):
-        levels.append(here.select("start", "depth", "content_hash", "parent"))
-        going = here.filter((F.col("parent") != ZERO) & ~F.array_contains("_seen", F.col("parent")))
-        if depth == most - 1 or going.isEmpty():
+    named = records.select(F.lower("content_hash").alias("content_hash"), F.lower(F.coalesce("parent", F.lit(ZERO))).alias("parent"), "index")
+    edges = checkpointed(named.groupBy("content_hash").agg(F.min_by("parent", F.struct("index", "parent")).alias("parent")))
+    jump = edges.filter(F.col("parent") != ZERO).join(edges.select(F.col("content_hash").alias("parent")), "parent").select(F.col("content_hash").alias("node"), F.col("parent").alias("up"))
+    walk = starts.select(F.lower("start").alias("start")).distinct().join(edges.select(F.col("content_hash").alias("start")), "start").select("start", F.lit(0).alias("depth"), F.col("start").alias("node"))
+    reach = 1
+    while reach < most:
+        jump = checkpointed(jump)
+        longer = walk.join(jump, "node").select("start", (F.col("depth") + reach).alias("depth"), F.col("up").alias("node")).filter(F.col("depth") < most)
+        longer = checkpointed(longer)
+        if longer.isEmpty():
             break
-        nxt = going.select("start", F.col("parent").alias("content_hash"), "_seen").join(edges, "content_hash")
-        here = checkpointed(nxt.select("start", F.lit(depth + 1).alias("depth"), "content_hash", "parent", F.array_append("_seen", F.col("content_hash")).alias("_seen")))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
+        walk = walk.unionByName(longer)
+        jump = jump.join(jump.select(F.col("node").alias("up"), F.col("up").alias("_top")), "up").select("node", F.col("_top").alias("up"))
+        reach *= 2
+    met = F.row_number().over(Window.partitionBy("start", "node").orderBy("depth"))
+    again = walk.withColumn("_met", met)
+    ends = again.filter("_met > 1").groupBy("start").agg(F.min("depth").alias("_end"))
+    kept = again.join(ends, "start", "left").filter((F.col("_met") == 1) & (F.col("depth") < F.coalesce("_end", F.lit(most))))
+    out = kept.join(edges.withColumnRenamed("content_hash", "node"), "node").select("start", "depth", F.col("node").alias("content_hash"), "parent")
     return out.withColumn("capped", (F.col("depth") == most - 1) & (F.col("parent") != ZERO))
 
 
