@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from datetime import date
+from functools import lru_cache
 from io import BytesIO
 
 import pyarrow as pa
@@ -33,7 +34,7 @@ PARTY_NAMES = ("name", "tenant")
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 #: Failing blocks of at most so many records are read one by one.
-LEAF = 8
+LEAF = 16
 
 _SPACE = " \t\r\n\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 _MONTH = "(?:" + "|".join(f"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in MONTHS) + ")"
@@ -41,16 +42,12 @@ _NUMBER = r"(?:(?:\d+|\d{1,3}(?:,\d{3})+)(?:\.\d{0,2})?|\.\d{1,2})"
 _AMOUNT = rf"\$?[+-]?{_NUMBER}"
 AMOUNT = rf"^(?:\({_AMOUNT}\)|{_AMOUNT})$"
 DATE = rf"^(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}/\d{{1,2}}/(?:\d{{4}}|\d{{2}})|\d{{8}}|(?i:{_MONTH}) +\d{{1,2}}, *\d{{4}}|\d{{1,2}}-(?i:{_MONTH})-(?:\d{{4}}|\d{{2}}))$"
-#: Dates whose form alone makes them real days: no check of the calendar is needed.
-_SURE = (
-    r"^(?:\d{3}[1-9]-(?:0[1-9]|1[0-2])-(?:0[1-9]|1\d|2[0-8])|\d{3}[1-9](?:0[1-9]|1[0-2])(?:0[1-9]|1\d|2[0-8])"
-    rf"|(?:0?[1-9]|1[0-2])/(?:0?[1-9]|1\d|2[0-8])/(?:\d{{3}}[1-9]|\d{{2}})|(?i:{_MONTH}) +(?:0?[1-9]|1\d|2[0-8]), *\d{{3}}[1-9]|(?:0?[1-9]|1\d|2[0-8])-(?i:{_MONTH})-(?:\d{{3}}[1-9]|\d{{2}}))$"
-)
 _AMOUNT_RE, _DATE_RE = re.compile(AMOUNT, re.ASCII), re.compile(DATE, re.ASCII)
 
 SCHEMA = "file_id long, line_no int, txn_date date, amount long, memo string, kind string, party string, reasons array<string>"
 
 
+@lru_cache(maxsize=100_000)
 def parse_day(text: str) -> date | None:
     """The day in `text` (already trimmed), null unless a real one in an accepted form."""
     if not _DATE_RE.match(text):
@@ -163,8 +160,8 @@ class Layout:
         if grid.num_rows != len(texts) or self.day is None or not self.amounts:
             return None
         column = lambda k: pc.utf8_trim(grid.column(k), _SPACE)
-        days = column(self.day)
-        if not pc.all(pc.match_substring_regex(days, _SURE)).as_py():
+        days = [parse_day(x) for x in column(self.day).to_pylist()]
+        if None in days:
             return None
         amounts = [(column(k), sign) for k, sign in self.amounts]
         filled = [pc.not_equal(c, "") for c, _ in amounts]
@@ -185,13 +182,12 @@ class Layout:
             sign = pc.if_else(f, s, sign)
         cents = pc.multiply(cents, pc.multiply(pc.if_else(minus, -1, 1), sign))
         text = lambda k: [None] * len(texts) if k is None else column(k).to_pylist()
-        return list(zip(map(parse_day, days.to_pylist()), cents.to_pylist(), text(self.memo), text(self.kind), text(self.party), ([] for _ in range(len(texts)))))
+        return list(zip(days, cents.to_pylist(), text(self.memo), text(self.kind), text(self.party), ([] for _ in range(len(texts)))))
 
     def read(self, texts: pa.Array) -> list[tuple]:
         """diagnose() for each of `texts`: in bulk where a block passes, bisecting it where not."""
-        if len(texts) > LEAF or len(texts) > 1 and texts.nbytes < 256:
-            if (rows := self.bulk(texts)) is not None:
-                return rows
+        if len(texts) > LEAF and (rows := self.bulk(texts)) is not None:
+            return rows
         if len(texts) <= LEAF:
             return [self.diagnose(t) for t in texts.to_pylist()]
         half = len(texts) // 2

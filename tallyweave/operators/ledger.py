@@ -114,14 +114,21 @@ def match_splits(single: DataFrame, parts: DataFrame, days: int = 3, most_parts:
     The search declines where more than `most_candidates` rows could take part, rather than trying them all: that is the
     operator's contract, as the reference defines it. Each part is used once; rows are served by date and id.
     """
-    width = days + 1
-    bucket = lambda c: F.floor(F.unix_date(c) / F.lit(width))
     sign = F.signum("amount").cast("int")
-    x = single.select("id", "date", "amount", sign.alias("sign"), bucket(F.col("date")).alias("bucket"))
-    y = parts.select(F.col("id").alias("part"), F.col("date").alias("pd"), F.col("amount").alias("pa"), sign.alias("sign"), F.explode(F.array(*(bucket(F.col("date")) + k for k in (-1, 0, 1)))).alias("bucket"))
-    near = x.join(y, ["sign", "bucket"]).filter((F.abs(F.datediff("date", "pd")) <= days) & (F.abs("pa") < F.abs("amount")))
-    counted = near.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n").between(2, most_candidates)).select("id")
-    pool = near.join(counted, "id").select("id", "amount", "part", "pa")
+    # Candidates are counted before any are paired: in each day of the window, the parts below the amount are as many as
+    # precede it in the day's order by size. Single rows are repeated per day, never per part.
+    near = F.explode(F.sequence(F.date_sub("date", days), F.date_add("date", days)))
+    x = single.select("id", "amount", sign.alias("sign"), near.alias("day"))
+    y = parts.select(F.col("id").alias("part"), "amount", sign.alias("sign"), F.col("date").alias("day"))
+    stacked = x.select("id", F.lit(None).cast(y.schema["part"].dataType).alias("part"), "amount", "sign", "day").unionByName(y.select(F.lit(None).cast(x.schema["id"].dataType).alias("id"), "part", "amount", "sign", "day"))
+    by_size = Window.partitionBy("sign", "day").orderBy(F.abs("amount"), F.col("part").isNotNull(), "part")
+    seen = stacked.withColumn("below", F.count("part").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
+    wanted = seen.filter("id is not null and below > 0").select("id", "amount", "sign", "day", "below")
+    few = wanted.groupBy("id").agg(F.sum("below").alias("n")).filter(F.col("n").between(2, most_candidates)).select("id")
+    # At most `most_candidates` rows per single row meet their parts by rank.
+    ranks = wanted.join(few, "id").select("id", "amount", "sign", "day", F.explode(F.sequence(F.lit(1).cast("bigint"), "below")).alias("below"))
+    ranked = seen.filter("part is not null").select("part", F.col("amount").alias("pa"), "sign", "day", "below")
+    pool = ranks.join(ranked, ["sign", "day", "below"]).select("id", "amount", "part", "pa")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         total = int(pdf["amount"].iloc[0])
