@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyweave.session import checkpointed
+
 # Words that name a kind of movement of money.
 KIND_WORDS = (
     "deposit", "dep", "check", "chk", "cheque", "transfer", "xfer", "trf", "fee", "srvchg", "charge", "nsf", "returned", "return", "reversal",
@@ -127,7 +129,8 @@ def lifespans(records: DataFrame, files: DataFrame, aliases: DataFrame) -> DataF
     `name` is the key most rows use (ties: the least), `json_type` that of most non-null values (ties: the least name).
     """
     last = deliveries(files)
-    cat = catalogue(records.join(last.select("file_id"), "file_id", "left_semi")).join(last, "file_id")
+    # A row per key of a file, read twice below: written once.
+    cat = checkpointed(catalogue(records.join(last.select("file_id"), "file_id", "left_semi")).join(last, "file_id"))
     mean = meanings(cat, aliases).filter(F.col("field").isin(*FIELDS))
     used = cat.join(mean, ["feed_id", "name"])
     types = ("array", "boolean", "number", "object", "string")
