@@ -25,6 +25,8 @@ AHEAD, LAG = 3, 14
 ROUNDS = 8
 #: Added to every variance, in squared units of the similarities.
 RIDGE = 0.02
+#: Pairs of the pooled distribution that each component is mixed with, so that features seldom seen say little.
+PRIOR = 5.0
 #: Greatest share of the amount that may be kept back as a fee, and cents by which an amount may be off.
 FEE, CENTS = 0.035, 10
 #: A word of the memos is a set phrase, no name, if at least this share of rows has it and parties rarely do.
@@ -342,8 +344,8 @@ def fit(x: DataFrame, rounds: int = ROUNDS) -> Mixture:
         for f in FEATURES:
             v = F.col(f)
             for tag, w in (("p", F.col("p")), ("q", q)):
-                w = F.when(v.isNotNull(), w).otherwise(0.0)
-                sums += [F.sum(w).alias(f"{tag}_{f}_0"), F.sum(w * v).alias(f"{tag}_{f}_1"), F.sum(w * v * v).alias(f"{tag}_{f}_2")]
+                w, x0 = F.when(v.isNotNull(), w).otherwise(0.0), F.coalesce(v, F.lit(0.0))
+                sums += [F.sum(w).alias(f"{tag}_{f}_0"), F.sum(w * x0).alias(f"{tag}_{f}_1"), F.sum(w * x0 * x0).alias(f"{tag}_{f}_2")]
         r = p.agg(*sums).first()
         if not r.n:
             return Mixture(0.5, {f: (0.0, 1.0) for f in FEATURES}, {f: (0.0, 1.0) for f in FEATURES})
@@ -351,9 +353,11 @@ def fit(x: DataFrame, rounds: int = ROUNDS) -> Mixture:
         def moments(tag: str, r=r) -> dict[str, tuple[float, float]]:
             out = {}
             for f in FEATURES:
-                n = max(r[f"{tag}_{f}_0"], 1e-9)
-                mean = r[f"{tag}_{f}_1"] / n
-                out[f] = (mean, max(r[f"{tag}_{f}_2"] / n - mean * mean, 0.0) + RIDGE)
+                own, pool = ([sum(r[f"{t}_{f}_{k}"] for t in tags) for k in range(3)] for tags in ((tag,), ("p", "q")))
+                weight = PRIOR / max(pool[0], 1e-9)
+                n, first, second = (x + weight * y for x, y in zip(own, pool))
+                mean = first / max(n, 1e-9)
+                out[f] = (mean, max(second / max(n, 1e-9) - mean * mean, 0.0) + RIDGE)
             return out
 
         mixture = Mixture(min(max(r.p / r.n, 1e-4), 1 - 1e-4), moments("p"), moments("q"))

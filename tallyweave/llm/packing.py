@@ -71,7 +71,14 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
     """Where the items of each length go, and the number of containers. `counts`: items by length, 1 to capacity.
 
     Item r of length s (r counts from 0) goes into container first + (r - low) // per of the segment of s that holds r.
+    Where few items are long, rounding them up may cost more than configurations save: then best-fit alone, over all
+    lengths, takes fewer containers and is used.
     """
+    return min((_plan(counts, capacity, groups, limit) for limit in (capacity // 8, capacity)), key=lambda p: p[1])
+
+
+def _plan(counts: dict[int, int], capacity: int, groups: int, limit: int) -> tuple[list[Segment], int]:
+    """plan() with the lengths above `limit` placed by linear grouping, the others best-fit, longest first."""
     segments: list[Segment] = []
     containers = 0
     free: dict[int, list[tuple[int, int]]] = {}  # space left → ranges of containers
@@ -83,10 +90,10 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
     if full := counts.get(capacity, 0):
         segments.append((capacity, 0, full, 1, 0))
         containers = full
-    limit = capacity // 8
     long = sorted((s for s, n in counts.items() if limit < s < capacity and n), reverse=True)
     total = sum(counts[s] for s in long)
-    # Runs of the long items, longest first, cut at the borders of the groups: (length, first rank, count).
+    # Runs of the long items, longest first, cut at the borders of the groups: (length, first rank, count). Lengths that
+    # are no more than the groups need no rounding: each is a group of its own.
     each = max(1, -(-total // groups))
     runs: list[list[list[int]]] = []
     room = 0
@@ -95,7 +102,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
         while n:
             if not room:
                 runs.append([])
-                room = each
+                room = n if len(long) <= groups else each
             take = min(room, n)
             runs[-1].append([s, at, take])
             at, n, room = at + take, n - take, room - take
@@ -158,7 +165,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
                 pattern[g] = a
                 space -= a * int(lengths[g])
             place(pattern, min(int(left[g] // pattern[g]) for g in np.flatnonzero(pattern)))
-    for s in sorted((s for s, n in counts.items() if 0 < s <= limit and n), reverse=True):
+    for s in sorted((s for s, n in counts.items() if 0 < s <= limit and s < capacity and n), reverse=True):
         at, n = 0, counts[s]
         space = s
         while n:
