@@ -37,7 +37,7 @@ def folded(key: Column) -> Column:
 def footer(records: DataFrame) -> DataFrame:
     """(file_id, row_no, name, json_type, text): one row per key of each distinct record.
 
-    Payloads that are no JSON object give no rows. json_type is 'string', 'number', 'object', 'array', 'boolean', or null
+    Payloads that are no JSON object and keys of blanks give no rows. json_type is 'string', 'number', 'object', 'array', 'boolean', or null
     for a null value.
     """
     rows = records.select("file_id", "row_no", "payload").distinct()
@@ -51,7 +51,7 @@ def footer(records: DataFrame) -> DataFrame:
         .when(kind == "BOOLEAN", "boolean")
         .otherwise("number")
     )
-    return pairs.select("file_id", "row_no", folded(F.col("key")).alias("name"), json_type.alias("json_type"), F.try_variant_get("value", "$", "string").alias("text"))
+    return pairs.filter(folded(F.col("key")) != "").select("file_id", "row_no", folded(F.col("key")).alias("name"), json_type.alias("json_type"), F.try_variant_get("value", "$", "string").alias("text"))
 
 
 def catalogue(records: DataFrame) -> DataFrame:

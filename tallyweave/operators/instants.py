@@ -27,7 +27,7 @@ ABBREVIATIONS = {
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 #: Local years that the interval table spells out. Earlier times use the first; later years the year in it with the same calendar.
-FIRST_YEAR, LAST_YEAR = 1850, 2087
+FIRST_YEAR, LAST_YEAR = 1850, 2128
 _DAY = 86_400_000_000
 _FAR = 1 << 60
 
@@ -118,7 +118,7 @@ def zone_intervals(zones: DataFrame) -> DataFrame:
 
     The intervals of a zone do not overlap: where offset intervals meet twice, `clock` is 'ambiguous', where none
     matches, 'skipped', else 'unique'; both special cases carry the offset before the change. Names are compared in
-    lower case; unknown ones give no rows. At most some 600 zones times 238 years times 4 rows.
+    lower case; unknown ones give no rows. At most some 600 zones times 279 years times 4 rows.
     """
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,7 +150,7 @@ def zone_intervals(zones: DataFrame) -> DataFrame:
                 spans.append((start, _FAR, now, "unique"))
                 for low, high, secs, clock in spans:
                     first = max(FIRST_YEAR, min(LAST_YEAR + 1, (epoch + timedelta(microseconds=max(low, -3_900_000_000_000_000))).year))
-                    last = max(FIRST_YEAR, min(LAST_YEAR + 1, (epoch + timedelta(microseconds=min(high - 1, 3_800_000_000_000_000))).year))
+                    last = max(FIRST_YEAR, min(LAST_YEAR + 1, (epoch + timedelta(microseconds=min(high - 1, 5_100_000_000_000_000))).year))
                     out += [(zone, y, low, high, secs, clock) for y in range(first, last + 1)]
             yield pd.DataFrame(out, columns=["zone", "local_year", "from_local", "to_local", "offset_s", "clock"])
 
@@ -171,7 +171,7 @@ def to_utc(df: DataFrame, text: str, default_zone: str) -> DataFrame:
     year = F.year(F.date_from_unix_date(F.floor(F.col("_tw_local_micros") / F.lit(_DAY)).cast("int")))
     x = x.withColumns({"_tw_key": key, "_tw_year": year, "_tw_given": zone})
     jan1 = lambda y: F.unix_date(F.make_date(y, F.lit(1), F.lit(1)))
-    # A year after the table has the changes of the year in 2060..2087 with the same calendar.
+    # A year after the table has the changes of the year of the last 28 in it with the same calendar.
     same = F.when(F.col("_tw_year") <= LAST_YEAR, F.greatest(F.col("_tw_year"), F.lit(FIRST_YEAR))).otherwise(_like_year(F.col("_tw_year")))
     shift = F.when(F.col("_tw_year") > LAST_YEAR, (jan1(F.col("_tw_like")) - jan1(F.col("_tw_year"))).cast("long") * _DAY).otherwise(F.lit(0))
     x = x.withColumn("_tw_like", F.when(F.col("_tw_key").isNotNull(), same)).withColumn("_tw_at", F.col("_tw_local_micros") + shift)

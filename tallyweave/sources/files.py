@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import subprocess
+from fnmatch import fnmatch
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,13 +18,25 @@ JOURNAL = "journal string, seq bigint, prevHash string, ts string, artifact stri
 
 
 def scan_directory(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
-    """(path, length, content) of all regular files below a folder, with paths relative to it; dotfiles and links are left out."""
+    """(path, length, content) of all regular files below a folder, with paths relative to it; dotfiles and links are left out.
+
+    The reader skips empty files, so these are listed apart: their paths alone come from the driver's listing.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     base = "file:" + str(Path(folder).resolve()) if "://" not in folder else folder.rstrip("/")
     rel = F.regexp_replace(F.col("path"), "^" + base.replace("file:", "file:/*") + "/", "")
-    x = reader.load(folder).select(posix_path(rel).alias("path"), "length", "content")
+    read = reader.load(folder).select("path", "length", "content")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(folder)
+    listing, empty = top.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(top, True), []
+    while listing.hasNext():
+        f = listing.next()
+        if not f.getLen() and (glob is None or fnmatch(f.getPath().getName(), glob)):
+            empty.append((f.getPath().toString(), 0, bytearray()))
+    every = read.unionByName(spark.createDataFrame(empty, read.schema)) if empty else read
+    x = every.select(posix_path(rel).alias("path"), "length", "content")
     return x.filter(~F.col("path").rlike(r"(?:^|/)\."))
 
 
