@@ -73,7 +73,9 @@ def parse_local(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
     q = lambda k: F.get(F.col(p), F.lit(k))
     num = lambda c: F.when(c != "", c).try_cast("int")
     df = df.withColumn(s, F.btrim(F.col(text), F.lit(" \t\r\n\u00a0")))
-    df = df.withColumn(p, F.when(~F.col(s).rlike(r"^(\d{10}|\d{13}|\d{16})$"), _parts(F.col(s))))
+    # A moment has a colon, or is written without any in twelve digits or more; other texts, days above all, need no look.
+    compact = F.length(s) >= 12
+    df = df.withColumn(p, F.when(F.col(s).contains(":") | (compact & F.col(s).rlike(r"^\d{8}[tT]?\d{4}") & ~F.col(s).rlike(r"^(\d{13}|\d{16})$")), _parts(F.col(s))))
     year, month, hour = F.col(f"{prefix}y"), F.col(f"{prefix}m"), F.col(f"{prefix}h")
     day, minute, second = num(q(3)), num(q(5)), F.coalesce(num(q(6)), F.lit(0))
     named = (F.position(F.lower(F.substring(q(2), 1, 3)), F.lit("".join(MONTHS))) + F.lit(2)) / 3
@@ -91,26 +93,24 @@ def parse_local(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
     clock = (hour <= 23) | ((hour == 24) & (minute == 0) & (second == 0) & (us == 0) & (q(8) == ""))
     real = (year >= 1) & month.between(1, 12) & (day >= 1) & (day <= last) & clock & (minute <= 59) & (second <= 59)
     micros = F.unix_date(F.make_date(year, month, day)).cast("long") * _DAY + ((hour * 60 + minute) * 60 + second).cast("long") * 1_000_000 + us
-    part = lambda pattern, k: F.regexp_extract(tail, pattern, k)
-    hours = part(_OFFSET, 1)
-    sign = lambda c: F.when(c.startswith("-"), -1).otherwise(1)
-    stated = F.abs(num(hours)) * 3600 + F.coalesce(num(part(_OFFSET, 2)), F.lit(0)) * 60
-    ofx = part(_BRACKET, 1)
-    of_ofx = F.abs(num(ofx)) * 3600 + F.coalesce((F.concat(F.lit("0."), F.when(part(_BRACKET, 2) != "", part(_BRACKET, 2))).cast("decimal(9,4)") * 3600).cast("int"), F.lit(0))
+    # Each form of a zone text is looked at only where its first letters allow it.
+    o = f"{prefix}o"
+    first = F.substring(tail, 1, 1)
+    signed = first.isin("+", "-") | (F.upper(F.substring(tail, 1, 3)).isin("UTC", "GMT") & (F.length(tail) > 3))
+    df = df.withColumn(o, F.split(F.when(signed, F.regexp_replace(tail, _OFFSET, "|o|$1|$2")).when(first == "[", F.regexp_replace(tail, _BRACKET, "|b|$1|$2")), r"\|", 4))
+    form, whole, rest = (F.get(F.col(o), F.lit(k)) for k in (1, 2, 3))
+    fits = (F.size(o) == 4) & (F.get(F.col(o), F.lit(0)) == "")
+    seconds = F.abs(num(whole)) * 3600 + F.coalesce(F.when(form == "o", num(rest) * 60).otherwise((F.concat(F.lit("0."), F.when(rest != "", rest)).try_cast("decimal(9,4)") * 3600).cast("int")), F.lit(0))
     known = F.create_map(*(F.lit(x) for kv in ABBREVIATIONS.items() for x in (kv[0], kv[1] * 60)))
-    offset = (
-        F.when(F.coalesce(tail, F.lit("")) == "", F.lit(None).cast("int"))
-        .when(hours != "", sign(hours) * stated)
-        .when(ofx != "", sign(ofx) * of_ofx)
-        .when(tail.rlike("^[A-Za-z]+$"), F.try_element_at(known, F.upper(tail)))
-    )
+    offset = F.when(fits, F.when(whole.startswith("-"), -seconds).otherwise(seconds)).when(tail.rlike("^[A-Za-z]+$"), F.try_element_at(known, F.upper(tail)))
+    named_zone = F.nullif(F.lower(F.regexp_extract(tail, rf"^\[?{_ZONE_IN_TEXT}\]?$", 1)), F.lit(""))
     digits = F.length(F.col(s))
     return df.withColumns({
         f"{prefix}local_micros": F.when(real, micros),
         f"{prefix}offset_s": F.when(F.abs(offset) <= 18 * 3600, offset),
-        f"{prefix}zone": F.when(F.coalesce(tail, F.lit("")) != "", F.coalesce(F.when(offset.isNull(), F.nullif(F.lower(part(rf"^\[?{_ZONE_IN_TEXT}\]?$", 1)), F.lit(""))), F.lit("?"))),
-        f"{prefix}epoch_micros": F.when(F.col(s).rlike(r"^(\d{10}|\d{13}|\d{16})$"), F.col(s).cast("long") * F.when(digits == 10, 1_000_000).when(digits == 13, 1000).otherwise(1)),
-    }).drop(s, p, *(f"{prefix}{x}" for x in ("y", "m", "h", "us", "t")))
+        f"{prefix}zone": F.when(F.coalesce(tail, F.lit("")) != "", F.coalesce(F.when(offset.isNull(), named_zone), F.lit("?"))),
+        f"{prefix}epoch_micros": F.when(digits.isin(10, 13, 16) & F.col(s).rlike(r"^\d+$"), F.col(s).cast("long") * F.when(digits == 10, 1_000_000).when(digits == 13, 1000).otherwise(1)),
+    }).drop(s, p, o, *(f"{prefix}{x}" for x in ("y", "m", "h", "us", "t")))
 
 
 def zone_intervals(zones: DataFrame) -> DataFrame:
