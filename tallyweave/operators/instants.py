@@ -62,6 +62,14 @@ def _parts(s: Column) -> Column:
     return F.split(text, r"\|", 10)
 
 
+def _step(array: Column) -> Column:
+    """The array as it is, as a step of its own: a higher-order function parts generated code into methods that the JVM compiles.
+
+    Without it the whole parse becomes one method beyond the JVM's limit, which stays interpreted (seven times as slow).
+    """
+    return F.transform(array, lambda x: x)
+
+
 def parse_local(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
     """Adds to `df` what column `text` says: `{prefix}local_micros`, `{prefix}offset_s`, `{prefix}zone`, `{prefix}epoch_micros`.
 
@@ -75,42 +83,46 @@ def parse_local(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
     df = df.withColumn(s, F.btrim(F.col(text), F.lit(" \t\r\n\u00a0")))
     # A moment has a colon, or is written without any in twelve digits or more; other texts, days above all, need no look.
     compact = F.length(s) >= 12
-    df = df.withColumn(p, F.when(F.col(s).contains(":") | (compact & F.col(s).rlike(r"^\d{8}[tT]?\d{4}") & ~F.col(s).rlike(r"^(\d{13}|\d{16})$")), _parts(F.col(s))))
-    year, month, hour = F.col(f"{prefix}y"), F.col(f"{prefix}m"), F.col(f"{prefix}h")
-    day, minute, second = num(q(3)), num(q(5)), F.coalesce(num(q(6)), F.lit(0))
-    named = (F.position(F.lower(F.substring(q(2), 1, 3)), F.lit("".join(MONTHS))) + F.lit(2)) / 3
-    tail = F.col(f"{prefix}t")
+    df = df.withColumn(p, F.when(F.col(s).contains(":") | (compact & F.col(s).rlike(r"^\d{8}[tT]?\d{4}") & ~F.col(s).rlike(r"^(\d{13}|\d{16})$")), _step(_parts(F.col(s)))))
+    c = {k: F.col(f"{prefix}{k}") for k in ("y", "m", "d", "h", "mi", "se", "us", "ap", "t", "ok")}
+    df = df.withColumns({f"{prefix}{k}": q(n) for k, n in (("y", 1), ("m", 2), ("d", 3), ("h", 4), ("mi", 5), ("se", 6), ("us", 7), ("ap", 8), ("t", 9))} | {f"{prefix}ok": (F.size(p) == 10) & (q(0) == "")})
+    named = ((F.position(F.lower(F.substring(c["m"], 1, 3)), F.lit("".join(MONTHS))) + F.lit(2)) / 3).cast("int")
     df = df.withColumns({
-        f"{prefix}y": F.when((F.size(p) == 10) & (q(0) == ""), F.when(F.length(q(1)) == 2, num(q(1)) + 2000).otherwise(num(q(1)))),
-        f"{prefix}m": F.when(q(2).rlike("^[A-Za-z]"), named.cast("int")).otherwise(num(q(2))),
-        f"{prefix}h": F.when(q(8) == "", num(q(4))).when(num(q(4)).between(1, 12), num(q(4)) % 12 + F.when(F.lower(q(8)) == "p", 12).otherwise(0)),
-        f"{prefix}us": F.substring(F.rpad(q(7), 6, "0"), 1, 6).try_cast("long"),
-        f"{prefix}t": q(9),
+        f"{prefix}y": F.when(c["ok"], num(c["y"]) + F.when(F.length(c["y"]) == 2, 2000).otherwise(0)),
+        f"{prefix}m": F.coalesce(num(c["m"]), F.when(F.length(c["m"]) > 2, named)),
+        f"{prefix}d": num(c["d"]), f"{prefix}h": num(c["h"]), f"{prefix}mi": num(c["mi"]), f"{prefix}se": F.coalesce(num(c["se"]), F.lit(0)),
+        f"{prefix}us": F.substring(F.rpad(c["us"], 6, "0"), 1, 6).try_cast("int"),
     })
+    noon = F.when(c["ap"] == "", c["h"]).when(c["h"].between(1, 12), c["h"] % 12 + F.when(F.lower(c["ap"]) == "p", 12).otherwise(0))
+    df = df.withColumn(f"{prefix}h", noon)
+    year, month, day, hour, minute, second, us, tail = (c[k] for k in ("y", "m", "d", "h", "mi", "se", "us", "t"))
     leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
     last = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
-    us = F.col(f"{prefix}us")
-    clock = (hour <= 23) | ((hour == 24) & (minute == 0) & (second == 0) & (us == 0) & (q(8) == ""))
+    clock = (hour <= 23) | ((hour == 24) & (minute == 0) & (second == 0) & (us == 0) & (c["ap"] == ""))
     real = (year >= 1) & month.between(1, 12) & (day >= 1) & (day <= last) & clock & (minute <= 59) & (second <= 59)
+    df = df.withColumn(f"{prefix}ok", real)
     micros = F.unix_date(F.make_date(year, month, day)).cast("long") * _DAY + ((hour * 60 + minute) * 60 + second).cast("long") * 1_000_000 + us
     # Each form of a zone text is looked at only where its first letters allow it.
     o = f"{prefix}o"
     first = F.substring(tail, 1, 1)
     signed = first.isin("+", "-") | (F.upper(F.substring(tail, 1, 3)).isin("UTC", "GMT") & (F.length(tail) > 3))
-    df = df.withColumn(o, F.split(F.when(signed, F.regexp_replace(tail, _OFFSET, "|o|$1|$2")).when(first == "[", F.regexp_replace(tail, _BRACKET, "|b|$1|$2")), r"\|", 4))
+    df = df.withColumn(o, _step(F.split(F.when(signed, F.regexp_replace(tail, _OFFSET, "|o|$1|$2")).when(first == "[", F.regexp_replace(tail, _BRACKET, "|b|$1|$2")), r"\|", 4)))
     form, whole, rest = (F.get(F.col(o), F.lit(k)) for k in (1, 2, 3))
     fits = (F.size(o) == 4) & (F.get(F.col(o), F.lit(0)) == "")
-    seconds = F.abs(num(whole)) * 3600 + F.coalesce(F.when(form == "o", num(rest) * 60).otherwise((F.concat(F.lit("0."), F.when(rest != "", rest)).try_cast("decimal(9,4)") * 3600).cast("int")), F.lit(0))
+    part = F.when(form == "o", num(rest) * 60).otherwise((F.concat(F.lit("0."), F.when(rest != "", rest)).try_cast("decimal(9,4)") * 3600).cast("int"))
+    seconds = F.abs(num(whole)) * 3600 + F.coalesce(part, F.lit(0))
     known = F.create_map(*(F.lit(x) for kv in ABBREVIATIONS.items() for x in (kv[0], kv[1] * 60)))
     offset = F.when(fits, F.when(whole.startswith("-"), -seconds).otherwise(seconds)).when(tail.rlike("^[A-Za-z]+$"), F.try_element_at(known, F.upper(tail)))
+    df = df.withColumn(f"{prefix}offset_s", offset)
+    offset = F.col(f"{prefix}offset_s")
     named_zone = F.nullif(F.lower(F.regexp_extract(tail, rf"^\[?{_ZONE_IN_TEXT}\]?$", 1)), F.lit(""))
     digits = F.length(F.col(s))
     return df.withColumns({
-        f"{prefix}local_micros": F.when(real, micros),
+        f"{prefix}local_micros": F.when(c["ok"], micros),
         f"{prefix}offset_s": F.when(F.abs(offset) <= 18 * 3600, offset),
         f"{prefix}zone": F.when(F.coalesce(tail, F.lit("")) != "", F.coalesce(F.when(offset.isNull(), named_zone), F.lit("?"))),
         f"{prefix}epoch_micros": F.when(digits.isin(10, 13, 16) & F.col(s).rlike(r"^\d+$"), F.col(s).cast("long") * F.when(digits == 10, 1_000_000).when(digits == 13, 1000).otherwise(1)),
-    }).drop(s, p, o, *(f"{prefix}{x}" for x in ("y", "m", "h", "us", "t")))
+    }).drop(s, p, o, *(f"{prefix}{x}" for x in c))
 
 
 def zone_intervals(zones: DataFrame) -> DataFrame:
