@@ -118,3 +118,14 @@ def test_nulls_everywhere_and_long_texts(spark):
     odd = [(10**7 + k, None, date(2025, 1, 1), 5, None, None, None, None) for k in range(5)] + [(10**7 + 9, "z" * 10_000, date(2025, 1, 1), -(2**62), "m " * 50_000, "k", "p" * 20_000, t)]
     got = {(r.id_a, r.id_b) for r in em.match(spark.createDataFrame(bank + odd, BANK), spark.createDataFrame(book + odd, BOOK)).collect()}
     assert len(got & true) > 0.85 * len(true)
+
+
+def test_hot_class_is_linear(spark):
+    t = datetime(2025, 1, 1)
+    bank, book, true = _plant(5, 400, 3)
+    same = [(10**7 + k, "x-0001", date(2025, 3, 4), 77_700, "ACH DEP DORVELKAS M", "deposit", None, t) for k in range(3000)]
+    twin = [(2 * 10**7 + k, "Ledger 1", date(2025, 3, 3), 77_700, "rent", "deposit", "Minvel Dorvelkas", t) for k in range(2900)]
+    found = em.match(spark.createDataFrame(bank + same, BANK), spark.createDataFrame(book + twin, BOOK)).collect()
+    hot = [(r.id_a, r.id_b) for r in found if r.id_a >= 10**7]
+    assert len(hot) == 2900 and len({a for a, _ in hot}) == len({b for _, b in hot}) == 2900
+    assert len({(r.id_a, r.id_b) for r in found} & true) > 0.85 * len(true)
