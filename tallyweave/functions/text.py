@@ -96,6 +96,31 @@ def local_name(qualified: Column) -> Column:
     return F.regexp_replace(qualified, r"^(?:\{[^}]*\}|[^:]*:)", "")
 
 
+def mod97_holds(account: Column) -> Column:
+    """Modulus-97 check of an account text: the first four characters moved to the end, letters counted from 10.
+
+    Any character above `@` counts as its code less 55, small letters too; blanks are dropped. Null for null, false for
+    texts under five characters or with other signs.
+    """
+    s = F.regexp_replace(account, " ", "")
+    turned = F.concat(F.substring(s, 5, 1 << 30), F.substring(s, 1, 4))
+    value = lambda ch: F.when(ch.rlike("^[0-9]$"), ch.try_cast("int")).otherwise(F.ascii(ch) - 55)
+    step = lambda acc, ch: (acc * F.when(value(ch) > 99, 1000).when(value(ch) > 9, 100).otherwise(10) + value(ch)) % 97
+    rest = F.aggregate(F.filter(F.split(turned, "(?!^)"), lambda ch: ch != ""), F.lit(0), step)
+    return F.when(account.isNotNull(), (F.length(s) > 4) & s.rlike("^[0-9A-Za-z]+$") & (rest == 1))
+
+
+def count_noun(n: Column, noun: str) -> Column:
+    """`1 file`, `2 files`."""
+    return F.concat(n.cast("string"), F.when(n == 1, f" {noun}").otherwise(f" {noun}s"))
+
+
+def state_code(raw: Column) -> Column:
+    """Two capital letters of a state code; null for other texts."""
+    s = F.upper(F.regexp_replace(raw, "[^A-Za-z]", ""))
+    return F.when(F.length(s) == 2, s)
+
+
 def phrase_at(words: Column, phrase: Column) -> Column:
     """True where the array `phrase` stands in the array `words` as a run; an empty phrase stands nowhere."""
     n = F.size(phrase)

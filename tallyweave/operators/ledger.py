@@ -27,18 +27,24 @@ def negative_balances(balances: DataFrame, tolerance: int = 0, control: DataFram
     return below if control is None else below.join(control.select("party").distinct(), "party", "left_anti")
 
 
-def tie_out(sources: dict[str, DataFrame], tolerance: int = 0) -> DataFrame:
+def tie_out_rows(rows: DataFrame, names: dict[str, str], tolerance: int = 0) -> DataFrame:
     """One row: the total of each source, the largest difference of any two and whether it is within the tolerance.
 
-    An empty source has a total of 0. All sources are summed in one pass over their union.
+    `rows` has source and amount; `names` maps result columns to values of source. One pass over the rows; a source
+    without rows has a total of 0.
     """
+    totals = rows.agg(*(F.coalesce(F.sum(F.when(F.col("source") == v, F.col("amount"))), F.lit(0)).cast("bigint").alias(n) for n, v in names.items()))
+    gap = F.greatest(*(F.col(n) for n in names)) - F.least(*(F.col(n) for n in names))
+    return totals.select("*", gap.alias("gap"), (gap <= tolerance).alias("ties_out"))
+
+
+def tie_out(sources: dict[str, DataFrame], tolerance: int = 0) -> DataFrame:
+    """tie_out_rows() of sources that are tables of their own."""
     tagged = None
     for name, df in sources.items():
         part = df.select(F.lit(name).alias("source"), F.col("amount"))
         tagged = part if tagged is None else tagged.unionByName(part)
-    totals = tagged.agg(*(F.coalesce(F.sum(F.when(F.col("source") == n, F.col("amount"))), F.lit(0)).cast("bigint").alias(n) for n in sources))
-    gap = F.greatest(*(F.col(n) for n in sources)) - F.least(*(F.col(n) for n in sources))
-    return totals.select("*", gap.alias("gap"), (gap <= tolerance).alias("ties_out"))
+    return tie_out_rows(tagged, {n: n for n in sources}, tolerance)
 
 
 def residue(own: DataFrame, other: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from typing import Any
 from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -215,6 +215,22 @@ def invoices(documents: DataFrame, key: str, content: str) -> DataFrame:
     return documents.select(key, content).mapInArrow(run, ddl)
 
 
+def distinct_values(items: str, member: str) -> Column:
+    """Distinct non-null values of a member of an array of structs."""
+    return F.array_compact(F.array_distinct(F.transform(items, lambda e: e[member])))
+
+
+def has_value(items: str, member: str, value: str) -> Column:
+    """Whether any struct of an array has the value; false for null and empty arrays."""
+    return F.coalesce(F.exists(items, lambda e: F.coalesce(e[member] == value, F.lit(False))), F.lit(False))
+
+
+def every_adjustment(document: str, lines: str, member: str) -> Column:
+    """Adjustments of the document and of all its lines in one array."""
+    none = F.slice(F.col(document), 1, 0)
+    return F.concat(F.coalesce(F.col(document), none), F.coalesce(F.flatten(F.transform(lines, lambda e: e[member])), none))
+
+
 def embedded_xml(data: bytes) -> bytes | None:
     """The first embedded XML file of a PDF container: a stream marked as an embedded file, inflated where needed; null if none."""
     import zlib

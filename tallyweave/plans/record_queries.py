@@ -71,8 +71,7 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
   CAST(coalesce(sum(amount) FILTER (source = 'rent_roll'), 0) AS BIGINT) AS rentroll FROM tx)
   SELECT *, greatest(bank, book, rentroll) - least(bank, book, rentroll) AS gap, greatest(bank, book, rentroll) = least(bank, book, rentroll) AS ties_out FROM s""")
 def three_way_tieout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tx = _ingest(spark, sf_dir)
-    return ledger.tie_out({name: tx.filter(F.col("source") == source) for name, source in (("bank", "bank"), ("book", "quickbooks"), ("rentroll", "rent_roll"))})
+    return ledger.tie_out_rows(_ingest(spark, sf_dir), {"bank": "bank", "book": "quickbooks", "rentroll": "rent_roll"})
 
 
 _PARTIES = f"WITH {_INGEST}, p AS (SELECT coalesce(nullif(trim(party), ''), 'unknown') AS party, CAST(coalesce(sum(amount), 0) AS BIGINT) AS balance FROM tx GROUP BY 1)"
@@ -761,6 +760,38 @@ def path_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.evaluate(_documents(spark, sf_dir), "o_orderkey", "content", rules).select("o_orderkey", "rule")
 
 
+@query("""SELECT e.l_orderkey AS o_orderkey, count(DISTINCT l_returnflag) AS categories, bool_or(l_returnflag = 'R') AS has_r FROM lineitem e SEMI JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""")
+def category_flattening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories of each order's nested lines, flattened and tested within the row."""
+    line = F.struct(F.col("l_returnflag").alias("category"), F.lit("VAT").alias("scheme"))
+    nested = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("lines"))
+    x = nested.join(table(spark, sf_dir, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return x.select("o_orderkey", F.size(markup.distinct_values("lines", "category")).cast("bigint").alias("categories"), markup.has_value("lines", "category", "R").alias("has_r"))
+
+
+@query(f"""WITH {_BANK}, {_BOOK} SELECT pos, side, id FROM (SELECT row_number() OVER (ORDER BY id) - 1 AS pos, 'a' AS side, id FROM bank UNION ALL SELECT row_number() OVER (ORDER BY id) - 1, 'b', id FROM book)""")
+def interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides' entries numbered for taking turns; order by position and side gives the sequence."""
+    number = lambda df, side: merkle.numbered(df.select("id"), "id").select("pos", F.lit(side).alias("side"), "id")
+    return number(_bank(spark, sf_dir), "a").unionByName(number(_book(spark, sf_dir), "b"))
+
+
+@query("""WITH t AS (SELECT ingest_id AS id, upper(regexp_replace(left(sha256(party), 18), '[^0-9a-z]', '', 'g')) AS s FROM ingest WHERE party IS NOT NULL),
+  d AS (SELECT DISTINCT id, s, substr(s, 5) || left(s, 4) AS r FROM t) SELECT id, s AS text, CAST(CAST(list_aggregate(list_transform(string_split(r, ''), lambda c: CASE WHEN c >= '0' AND c <= '9' THEN c ELSE CAST(ord(c) - 55 AS VARCHAR) END), 'string_agg', '') AS HUGEINT) % 97 = 1 AS BOOLEAN) AS holds FROM d""")
+def check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modulus-97 check of account-like texts."""
+    s = F.upper(F.substring(F.sha2(F.col("party").cast("binary"), 256), 1, 18))
+    return table(spark, sf_dir, "ingest").filter("party is not null").select(F.col("ingest_id").alias("id"), s.alias("text")).distinct().withColumn("holds", text.mod97_holds(F.col("text")))
+
+
+@query()
+def packet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON document of totals, roll-up and negative balances."""
+    tx = _ingest(spark, sf_dir)
+    parts = {"totals": three_way_tieout(spark, sf_dir), "kinds": found.roll_up(tx, "kind", "amount"), "negative": ledger.negative_balances(ledger.party_balances(tx), 10_000_000)}
+    return reports.packet(parts, "reconciliation")
+
+
 @query()
 def transcript_flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcript lines made of the documents (a text, or blocks of text and tool calls) flattened to events."""

@@ -138,6 +138,19 @@ def explained(findings: DataFrame, catalogue: DataFrame, language: str = "en") -
     return x.select(*(findings[c] for c in findings.columns if c != "rule"), "rule", F.coalesce("title_a", "title_b").alias("title"), F.coalesce("fix_a", "fix_b").alias("fix"))
 
 
+def packet(parts: dict[str, DataFrame], kind: str) -> DataFrame:
+    """One row (document): a JSON object of small tables by name, each an array of its rows.
+
+    For summaries, whose rows are few by construction; their order is that of the rows' texts.
+    """
+    out = None
+    for name, df in parts.items():
+        rows = df.agg(F.array_sort(F.collect_list(F.to_json(F.struct(*df.columns)))).alias(name))
+        out = rows if out is None else out.crossJoin(rows)  # one row each
+    body = F.concat_ws(",", *(F.concat(F.lit(f'"{n}":['), F.array_join(n, ","), F.lit("]")) for n in parts))
+    return out.select(F.concat(F.lit(f'{{"kind":"{kind}",'), body, F.lit("}")).alias("document"))
+
+
 def receipts(reports: DataFrame, key: str, body: str) -> DataFrame:
     """(key, digest) of report bodies in canonical JSON: SHA-256 of the canonical form; null for bodies that have none."""
     from tallyweave.operators.logs import canonical
