@@ -186,33 +186,42 @@ def _band(amount: Column) -> Column:
     return F.floor(F.log(F.greatest(F.abs(amount), F.lit(1)).cast("double")) / math.log1p(2 * FEE)) * 2 + (F.col("amount") < 0).cast("int")
 
 
+def _signs() -> Column:
+    """What tells an entry apart from others of its amount: name keys and numbers."""
+    return F.array_union("keys", F.transform("refs", lambda r: F.concat(F.lit("#"), r)))
+
+
+def _keyed(df: DataFrame, spread: bool) -> DataFrame:
+    """(id, day, place, key): a row for each partial key of an entry, as a hash of the key's kind and values.
+
+    Kinds: the amount, its sorted digits, reference numbers, word ends with the band of the amount, the unit with the band.
+    `spread` repeats bands for their neighbours. Hashes of equal keys are equal; of unequal ones hardly ever, and then a
+    pair more is looked at.
+    """
+    band = _band(F.col("amount"))
+    bands = F.array(*(band + k for k in ((-2, 0, 2) if spread else (0,))))
+    one = lambda kind, v: F.array(F.xxhash64(F.lit(kind), v))
+    ends = F.flatten(F.transform("ends", lambda e: F.transform(bands, lambda d: F.xxhash64(F.lit("end"), e, d))))
+    unit = F.when(F.col("unit").isNotNull(), F.transform(bands, lambda d: F.xxhash64(F.lit("unit"), F.col("unit"), d))).otherwise(F.array().cast("array<bigint>"))
+    refs = F.transform("refs", lambda r: F.xxhash64(F.lit("ref"), r))
+    every = F.concat(one("amount", F.col("amount")), one("digits", _digits(F.col("amount"))), refs, ends, unit)
+    return df.filter("place is not null").select("id", "day", "place", F.explode(F.array_distinct(every)).alias("key"))
+
+
 def candidates(a: DataFrame, b: DataFrame, linked: DataFrame) -> DataFrame:
-    """(id_a, id_b), distinct: pairs that agree in one of the partial keys."""
+    """(id_a, id_b), distinct: pairs of linked places that agree in one of the partial keys.
+
+    All kinds of keys meet in one join. Where an entry's place is missing or linked to none, amounts meet through names
+    and numbers alone; such entries are few, so the join may broadcast them if they are counted to be.
+    """
     # The other source's entries, seen from the linked places.
-    seen = b.join(linked, b.place == linked.place_b).drop("place").withColumnRenamed("place_a", "place")
-    # Where an entry's place is missing or linked to none, amounts meet through names and numbers alone.
-    lost_a = a.join(linked.select(F.col("place_a").alias("place")).distinct(), "place", "left_anti")
-    lost_b = b.join(linked.select(F.col("place_b").alias("place")).distinct(), "place", "left_anti")
-    ra, rl = (x.withColumn("k", F.explode("refs")) for x in (a, seen))
-    signs = lambda df: df.select("id", "day", "amount", F.explode(F.array_union("keys", F.transform("refs", lambda r: F.concat(F.lit("#"), r)))).alias("k"))
-    slim = lambda df, *c: df.select("id", "day", *c)
-    digits = lambda df: slim(df.withColumn("d", _digits(F.col("amount"))), "place", "d")
-    band = lambda df: df.withColumn("d", _band(F.col("amount")))
-    around = lambda df: band(df).withColumn("d", F.explode(F.array(F.col("d") - 2, F.col("d"), F.col("d") + 2)))
-    fa, fl = (x.withColumn("f", F.explode("ends")) for x in (a, seen))
-    found = [
-        _pairs(slim(a, "place", "amount"), slim(seen, "place", "amount"), ["place", "amount"]),
-        _pairs(signs(lost_a), signs(b), ["amount", "k"]),
-        _pairs(signs(a), signs(lost_b), ["amount", "k"]),
-        _pairs(slim(ra, "place", "k"), slim(rl, "place", "k"), ["place", "k"]),
-        _pairs(digits(a), digits(seen), ["place", "d"]),
-        _pairs(slim(band(fa), "place", "f", "d"), slim(around(fl), "place", "f", "d"), ["place", "f", "d"]),
-        _pairs(slim(band(a), "place", "unit", "d"), slim(around(seen), "place", "unit", "d"), ["place", "unit", "d"]),
-    ]
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out.distinct()
+    seen = b.join(small_side(linked), b.place == linked.place_b).drop("place").withColumnRenamed("place_a", "place")
+    lost_a = a.join(small_side(linked.select(F.col("place_a").alias("place")).distinct()), "place", "left_anti")
+    lost_b = b.join(small_side(linked.select(F.col("place_b").alias("place")).distinct()), "place", "left_anti")
+    told = lambda df: df.select("id", "day", "amount", F.explode(_signs()).alias("key"))
+    found = _pairs(_keyed(a, False), _keyed(seen, True), ["place", "key"])
+    found = found.union(_pairs(small_side(told(lost_a)), told(b), ["amount", "key"]))
+    return found.union(_pairs(told(a), small_side(told(lost_b)), ["amount", "key"])).distinct()
 
 
 def collective(a: DataFrame, b: DataFrame, linked: DataFrame) -> DataFrame:
@@ -313,12 +322,19 @@ class Mixture:
     unmatched: dict[str, tuple[float, float]]
 
     def log_odds(self) -> Column:
-        """Log of matched against unmatched density times shares; a missing feature says nothing."""
-        total = F.lit(math.log(self.share / (1 - self.share)))
+        """Log of matched against unmatched density times shares; a missing feature says nothing.
+
+        The parameters are one literal array beside the array of features, so that each round runs the same compiled code.
+        """
+        terms = [(0.0, 1.0, 0.0, 1.0, math.log(self.share / (1 - self.share)))]
         for f in FEATURES:
             (m, v), (n, w) = self.matched[f], self.unmatched[f]
-            x = F.col(f)
-            total += F.coalesce((x - n) * (x - n) / (2 * w) - (x - m) * (x - m) / (2 * v) + 0.5 * math.log(w / v), F.lit(0.0))
+            terms.append((m, 0.5 / v, n, 0.5 / w, 0.5 * math.log(w / v)))
+        names = ("m", "v", "n", "w", "c")
+        parameters = F.array(*(F.struct(*(F.lit(float(x)).alias(k) for k, x in zip(names, t))) for t in terms))
+        vector = F.array(F.lit(0.0), *(F.col(f) for f in FEATURES))
+        each = F.zip_with(vector, parameters, lambda x, p: F.coalesce((x - p["n"]) * (x - p["n"]) * p["w"] - (x - p["m"]) * (x - p["m"]) * p["v"] + p["c"], F.lit(0.0)))
+        total = F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
         return F.greatest(F.least(total, F.lit(40.0)), F.lit(-40.0))
 
 
