@@ -21,8 +21,8 @@ from tallyweave.session import checkpointed, small_side
 
 #: Days by which the later source may run ahead of the earlier one, and lag behind it.
 AHEAD, LAG = 3, 14
-#: Rounds of expectation-maximisation; the fit settles in fewer.
-ROUNDS = 8
+#: Most rounds of expectation-maximisation, and the change of share and means below which the fit has settled.
+ROUNDS, SETTLED = 12, 0.002
 #: Added to every variance, in squared units of the similarities.
 RIDGE = 0.02
 #: Pairs of the pooled distribution that each component is mixed with, so that features seldom seen say little.
@@ -321,6 +321,11 @@ class Mixture:
     matched: dict[str, tuple[float, float]]
     unmatched: dict[str, tuple[float, float]]
 
+    def distance(self, other: Mixture) -> float:
+        """Greatest change of the share and of any mean."""
+        means = [abs(x[f][0] - y[f][0]) for x, y in ((self.matched, other.matched), (self.unmatched, other.unmatched)) for f in FEATURES]
+        return max(abs(self.share - other.share), *means)
+
     def log_odds(self) -> Column:
         """Log of matched against unmatched density times shares; a missing feature says nothing.
 
@@ -376,7 +381,9 @@ def fit(x: DataFrame, rounds: int = ROUNDS) -> Mixture:
                 out[f] = (mean, max(second / max(n, 1e-9) - mean * mean, 0.0) + RIDGE)
             return out
 
-        mixture = Mixture(min(max(r.p / r.n, 1e-4), 1 - 1e-4), moments("p"), moments("q"))
+        before, mixture = mixture, Mixture(min(max(r.p / r.n, 1e-4), 1 - 1e-4), moments("p"), moments("q"))
+        if before is not None and before.distance(mixture) < SETTLED:
+            break
     return mixture
 
 
@@ -395,6 +402,8 @@ def assign(x: DataFrame, mixture: Mixture, least: float = 0.5, rounds: int = 3)
         })
         best = checkpointed(ranked.filter("in_a = 1 and in_b = 1").select("id_a", "id_b", "summed", "p"))
         chosen = best if chosen is None else chosen.union(best)
+        if best.isEmpty():
+            break
         rest = checkpointed(rest.join(best.select("id_b"), "id_b", "left_anti").join(best.filter("not summed").select("id_a"), "id_a", "left_anti"))
     return chosen.select("id_a", "id_b", F.col("p").alias("confidence"))
 
