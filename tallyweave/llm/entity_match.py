@@ -17,12 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.session import checkpointed, small_side
+from tallyweave.session import BROADCAST_ROWS, checkpointed
 
 #: Days by which the later source may run ahead of the earlier one, and lag behind it.
 AHEAD, LAG = 3, 14
 #: Most rounds of expectation-maximisation, and the change of share and means below which the fit has settled.
-ROUNDS, SETTLED = 12, 0.002
+ROUNDS, SETTLED = 12, 0.01
 #: Added to every variance, in squared units of the similarities.
 RIDGE = 0.02
 #: Pairs of the pooled distribution that each component is mixed with, so that features seldom seen say little.
@@ -208,6 +208,11 @@ def _keyed(df: DataFrame, spread: bool) -> DataFrame:
     return df.filter("place is not null").select("id", "day", "place", F.explode(F.array_distinct(every)).alias("key"))
 
 
+def _counted(df: DataFrame) -> DataFrame:
+    """`df` with a broadcast hint if its rows, counted, are at most BROADCAST_ROWS."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def candidates(a: DataFrame, b: DataFrame, linked: DataFrame) -> DataFrame:
     """(id_a, id_b), distinct: pairs of linked places that agree in one of the partial keys.
 
@@ -215,13 +220,13 @@ def candidates(a: DataFrame, b: DataFrame, linked: DataFrame) -> DataFrame:
     and numbers alone; such entries are few, so the join may broadcast them if they are counted to be.
     """
     # The other source's entries, seen from the linked places.
-    seen = b.join(small_side(linked), b.place == linked.place_b).drop("place").withColumnRenamed("place_a", "place")
-    lost_a = a.join(small_side(linked.select(F.col("place_a").alias("place")).distinct()), "place", "left_anti")
-    lost_b = b.join(small_side(linked.select(F.col("place_b").alias("place")).distinct()), "place", "left_anti")
+    seen = b.join(linked, b.place == linked.place_b).drop("place").withColumnRenamed("place_a", "place")
+    lost_a = a.join(linked.select(F.col("place_a").alias("place")), "place", "left_anti")
+    lost_b = b.join(linked.select(F.col("place_b").alias("place")), "place", "left_anti")
     told = lambda df: df.select("id", "day", "amount", F.explode(_signs()).alias("key"))
     found = _pairs(_keyed(a, False), _keyed(seen, True), ["place", "key"])
-    found = found.union(_pairs(small_side(told(lost_a)), told(b), ["amount", "key"]))
-    return found.union(_pairs(told(a), small_side(told(lost_b)), ["amount", "key"])).distinct()
+    found = found.union(_pairs(_counted(told(lost_a)), told(b), ["amount", "key"]))
+    return found.union(_pairs(told(a), _counted(told(lost_b)), ["amount", "key"])).distinct()
 
 
 def collective(a: DataFrame, b: DataFrame, linked: DataFrame) -> DataFrame:
@@ -283,7 +288,7 @@ def vectors(pairs: DataFrame, a: DataFrame, b: DataFrame, linked: DataFrame) ->
     x = pairs
     for side, df in (("a", a), ("b", b)):
         x = x.join(df.select(F.col("id").alias(f"id_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in cols)), f"id_{side}")
-    x = x.join(small_side(linked.withColumn("is_linked", F.lit(1.0))), ["place_a", "place_b"], "left")
+    x = x.join(linked.withColumn("is_linked", F.lit(1.0)), ["place_a", "place_b"], "left")
     off = F.abs(F.col("amount_a") - F.col("amount_b"))
     short = (F.col("amount_b") - F.col("amount_a")) / F.greatest(F.abs("amount_b"), F.lit(1))
     gap = F.col("day_a") - F.col("day_b")
@@ -404,7 +409,7 @@ def assign(x: DataFrame, mixture: Mixture, least: float = 0.5, rounds: int = 3)
         chosen = best if chosen is None else chosen.union(best)
         if best.isEmpty():
             break
-        rest = checkpointed(rest.join(best.select("id_b"), "id_b", "left_anti").join(best.filter("not summed").select("id_a"), "id_a", "left_anti"))
+        rest = x.join(chosen.select("id_b"), "id_b", "left_anti").join(chosen.filter("not summed").select("id_a"), "id_a", "left_anti")
     return chosen.select("id_a", "id_b", F.col("p").alias("confidence"))
 
 
@@ -432,7 +437,7 @@ def match(bank: DataFrame, book: DataFrame) -> DataFrame:
     a, b = (checkpointed(classes(with_names(x, phrases))) for x in (a, b))
     members_a, members_b = a.select(F.col("rep").alias("rep_a"), "nth", F.col("id").alias("id_a")), b.select(F.col("rep").alias("rep_b"), "nth", F.col("id").alias("id_b"))
     a, b = (x.filter("nth = 1").drop("rep", "nth") for x in (a, b))
-    linked = checkpointed(links(a, b))
+    linked = _counted(checkpointed(links(a, b)))
     sums = collective(a, b, linked)
     single = candidates(a.filter("parts is null"), b, linked)
     pairs = single.withColumn("summed", F.lit(False)).union(sums.withColumn("summed", F.lit(True)))
