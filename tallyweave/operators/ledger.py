@@ -5,6 +5,8 @@ Transactions have the columns id, date, amount (signed cents), memo, kind, party
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from tallyweave.functions.text import memo_similarity, name_tokens, party_key, p
 from tallyweave.session import checkpointed
 
 KEY = ("date", "amount", "memo", "party")
+#: Batches in which amounts are matched one to one; all rows of an amount are in one of them.
+PARTS = 1024
 
 
 def party_balances(rows: DataFrame) -> DataFrame:
@@ -70,18 +74,15 @@ def match_exact(a: DataFrame, b: DataFrame) -> DataFrame:
     return _numbered(a, keys, "a").join(_numbered(b, keys, "b"), [*keys, "nth"]).select("id_a", "id_b", F.lit(1.0).alias("confidence"))
 
 
-def _greedy(pairs: DataFrame, rounds: int) -> DataFrame:
-    """One-to-one pairs of (id_a, id_b, gap, score): rounds of mutual best choices by gap, score and ids, until none is left."""
-    order = ["gap", F.col("score").desc(), "id_a", "id_b"]
-    chosen, rest = None, checkpointed(pairs)
-    for _ in range(rounds):
-        ranked = rest.withColumns({"ra": F.row_number().over(Window.partitionBy("id_a").orderBy(*order)), "rb": F.row_number().over(Window.partitionBy("id_b").orderBy(*order))})
-        best = checkpointed(ranked.filter("ra = 1 and rb = 1").select("id_a", "id_b", "gap", "score"))
-        chosen = best if chosen is None else chosen.unionByName(best)
-        rest = checkpointed(rest.join(best.select("id_a"), "id_a", "left_anti").join(best.select("id_b"), "id_b", "left_anti"))
-        if rest.isEmpty():
-            break
-    return chosen
+def _keyed_pairs(a: DataFrame, b: DataFrame, days: int, opposite: bool) -> DataFrame:
+    """window_pairs() with the amount they share as `key`."""
+    width = days + 1
+    bucket = lambda c: F.floor(F.unix_date(c) / F.lit(width))
+    x = a.select(F.col("id").alias("id_a"), F.col("amount").alias("key"), F.col("date").alias("da"), F.col("memo").alias("ma"), bucket(F.col("date")).alias("bucket"))
+    sign = -1 if opposite else 1
+    y = b.select(F.col("id").alias("id_b"), (F.col("amount") * sign).alias("key"), F.col("date").alias("db"), F.col("memo").alias("mb"), F.explode(F.array(*(bucket(F.col("date")) + k for k in (-1, 0, 1)))).alias("bucket"))
+    gap = F.abs(F.datediff("da", "db"))
+    return x.join(y, ["key", "bucket"]).filter(gap <= days).select("key", "id_a", "id_b", gap.alias("gap"), memo_similarity(F.col("ma"), F.col("mb")).alias("score"))
 
 
 def window_pairs(a: DataFrame, b: DataFrame, days: int, opposite: bool = False) -> DataFrame:
@@ -89,29 +90,75 @@ def window_pairs(a: DataFrame, b: DataFrame, days: int, opposite: bool = False)
 
     An interval join made an equi-join: days are cut into buckets and the right side is repeated for the neighbouring ones.
     """
-    width = days + 1
-    bucket = lambda c: F.floor(F.unix_date(c) / F.lit(width))
-    x = a.select(F.col("id").alias("id_a"), F.col("amount").alias("key"), F.col("date").alias("da"), F.col("memo").alias("ma"), bucket(F.col("date")).alias("bucket"))
-    sign = -1 if opposite else 1
-    y = b.select(F.col("id").alias("id_b"), (F.col("amount") * sign).alias("key"), F.col("date").alias("db"), F.col("memo").alias("mb"), F.explode(F.array(*(bucket(F.col("date")) + k for k in (-1, 0, 1)))).alias("bucket"))
-    gap = F.abs(F.datediff("da", "db"))
-    return x.join(y, ["key", "bucket"]).filter(gap <= days).select("id_a", "id_b", gap.alias("gap"), memo_similarity(F.col("ma"), F.col("mb")).alias("score"))
+    return _keyed_pairs(a, b, days, opposite).select("id_a", "id_b", "gap", "score")
+
+
+def _classed(df: DataFrame, *also: str) -> DataFrame:
+    """`df` with `rep`, the least id of the rows of equal amount, date and memo; rows without id can't be paired and are left out."""
+    return df.filter("id is not null").withColumn("rep", F.min("id").over(Window.partitionBy("amount", "date", "memo", *also)))
+
+
+def _take(rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    """The greedy choice among `pairs` of classes whose members are `rows`: by gap, score and ids, until no pair is left."""
+    out: list[tuple] = []
+    if len(pairs) and len(rows):
+        ids = {side: {rep: sorted(x) for rep, x in some.groupby("rep")["id"]} for side, some in rows.groupby("side")}
+        a, b = ids["a"], ids["b"]
+        at_a, at_b = dict.fromkeys(a, 0), dict.fromkeys(b, 0)
+        for (gap, less), level in pairs.assign(less=-pairs["score"]).groupby(["gap", "less"], sort=True):
+            # Members of a class can't be told apart but by id, so what is left of a class is always its end.
+            near: dict = {}
+            for x, y in zip(level["id_a"].tolist(), level["id_b"].tolist()):
+                if at_a[x] < len(a[x]) and at_b[y] < len(b[y]):
+                    near.setdefault(x, []).append(y)
+            heap = [(a[x][at_a[x]], x) for x in near]
+            heapq.heapify(heap)
+            while heap:
+                i, x = heap[0]
+                near[x] = [y for y in near[x] if at_b[y] < len(b[y])]
+                if not near[x]:
+                    heapq.heappop(heap)
+                    continue
+                y = min(near[x], key=lambda y: b[y][at_b[y]])
+                out.append((i, b[y][at_b[y]], gap, -less))
+                at_a[x] += 1
+                at_b[y] += 1
+                if at_a[x] < len(a[x]):
+                    heapq.heapreplace(heap, (a[x][at_a[x]], x))
+                else:
+                    heapq.heappop(heap)
+    return pd.DataFrame(out, columns=["id_a", "id_b", "gap", "score"])
+
+
+def _greedy(a: DataFrame, b: DataFrame, pairs: DataFrame, opposite: bool = False) -> DataFrame:
+    """One-to-one (id_a, id_b, gap, score): the best pair by gap, score and ids, then the best of what is left, until none is left.
+
+    `pairs` are those of classes (key, id_a, id_b, gap, score), `a` and `b` all rows with `rep`. Only rows of one key meet, so
+    keys are served apart, many in one batch; equal rows are one class, so a hot amount makes no more pairs than its classes do.
+    """
+    part = lambda key: F.pmod(F.xxhash64(key.cast("bigint")), F.lit(PARTS)).alias("part")
+    rows = a.select(part(F.col("amount")), F.lit("a").alias("side"), "rep", "id").unionByName(b.select(part(F.col("amount") * (-1 if opposite else 1)), F.lit("b").alias("side"), "rep", "id"))
+    pairs = pairs.select(part(F.col("key")), "id_a", "id_b", "gap", "score")
+    kinds = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in pairs.schema if x.name != "part")
+    return rows.groupBy("part").cogroup(pairs.groupBy("part")).applyInPandas(_take, kinds)
 
 
-def match_window(a: DataFrame, b: DataFrame, days: int = 3, rounds: int = 6) -> DataFrame:
+def match_window(a: DataFrame, b: DataFrame, days: int = 3) -> DataFrame:
     """(id_a, id_b, confidence): equal amounts within `days`, nearest first. Confidence is the mean of closeness and memo similarity."""
-    chosen = _greedy(window_pairs(a, b, days), rounds)
+    a, b = _classed(a), _classed(b)
+    chosen = _greedy(a, b, _keyed_pairs(a.filter("id = rep"), b.filter("id = rep"), days, False))
     confidence = 0.5 * (1 - F.col("gap") / F.lit(days + 1)) + 0.5 * F.col("score")
     return chosen.select("id_a", "id_b", confidence.alias("confidence"))
 
 
-def match_reversals(a: DataFrame, b: DataFrame, returned: Column, days: int = 3, rounds: int = 6) -> DataFrame:
+def match_reversals(a: DataFrame, b: DataFrame, returned: Column, days: int = 3) -> DataFrame:
     """(id_a, id_b, confidence): equal and opposite amounts within `days` where a side is marked by the predicate `returned`; at most 0.95."""
-    marked = lambda df: df.withColumn("_r", F.coalesce(returned, F.lit(False)))
-    x, y = marked(a), marked(b)
-    pairs = window_pairs(x.filter("_r"), y, days, True).unionByName(window_pairs(x.filter("not _r"), y.filter("_r"), days, True))
+    marked = lambda df: _classed(df.withColumn("_r", F.coalesce(returned, F.lit(False))), "_r")
+    a, b = marked(a), marked(b)
+    x, y = a.filter("id = rep"), b.filter("id = rep")
+    pairs = _keyed_pairs(x.filter("_r"), y, days, True).unionByName(_keyed_pairs(x.filter("not _r"), y.filter("_r"), days, True))
     confidence = 0.5 * (1 - F.col("gap") / F.lit(days + 1)) + 0.5 * F.col("score")
-    return _greedy(pairs, rounds).select("id_a", "id_b", F.least(F.lit(0.95), confidence).alias("confidence"))
+    return _greedy(a, b, pairs, True).select("id_a", "id_b", F.least(F.lit(0.95), confidence).alias("confidence"))
 
 
 def match_splits(single: DataFrame, parts: DataFrame, days: int = 3, most_parts: int = 3, most_candidates: int = 24) -> DataFrame:

@@ -128,6 +128,35 @@ def test_matcher_does_not_depend_on_order_and_loses_nothing(spark):
         assert got == want
 
 
+def test_hot_amount_is_paired_to_the_end(spark):
+    same = lambda ids, day: [(i, day, 500, "rent", "", "") for i in ids]
+    got = sorted(tuple(r) for r in ledger.match_window(_tx(spark, *same(range(40), 5)), _tx(spark, *same(range(100, 130), 6))).select("id_a", "id_b").collect())
+    assert got == [(k, 100 + k) for k in range(30)]
+    back = [(i, 6, -500, "rent", "nsf", "") for i in range(100, 130)]
+    assert ledger.match_reversals(_tx(spark, *same(range(40), 5)), _tx(spark, *back), F.col("kind") == "nsf").count() == 30
+
+
+def test_window_and_reversals_against_greedy_by_hand(spark):
+    rng = random.Random(11)
+    rows = [[(s + i, rng.randint(1, 9), rng.choice([100, 100, 100, -100, 250]), rng.choice(["a b", "a", "", None, "b c"]), rng.choice(["", "nsf"]), "") for i in range(70)] for s in (0, 1000)]
+    a, b = (_tx(spark, *x) for x in rows)
+    words = lambda m: set((m or "").split())
+    score = lambda m, n: 1.0 if words(m) == words(n) else len(words(m) & words(n)) / len(words(m) | words(n))
+
+    def by_hand(sign, days, may):
+        pairs = sorted((abs(x[1] - y[1]), -score(x[3], y[3]), x[0], y[0]) for x in rows[0] for y in rows[1] if x[2] == sign * y[2] and abs(x[1] - y[1]) <= days and may(x, y))
+        used, out = set(), []
+        for *_, i, j in pairs:
+            if i not in used and j not in used:
+                used |= {i, j}
+                out.append((i, j))
+        return sorted(out)
+
+    pick = lambda df: sorted((r.id_a, r.id_b) for r in df.collect())
+    assert pick(ledger.match_window(a, b, 3)) == by_hand(1, 3, lambda x, y: True)
+    assert pick(ledger.match_reversals(a, b, F.col("kind") == "nsf", 2)) == by_hand(-1, 2, lambda x, y: "nsf" in (x[4], y[4]))
+
+
 def test_splits_decline_and_serve_once(spark):
     one = _tx(spark, (1, 5, 60, "", "", ""), (2, 5, 60, "", "", ""))
     parts = _tx(spark, *[(10 + k, 5, v, "", "", "") for k, v in enumerate((10, 20, 30))])
