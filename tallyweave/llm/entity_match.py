@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass
 
 import pandas as pd
@@ -230,15 +231,16 @@ def candidates(a: DataFrame, b: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 def collective(a: DataFrame, b: DataFrame, linked: DataFrame) -> DataFrame:
-    """(id_a, id_b): parts of entries that record several of the other source's at once.
+    """(id_a, id_b, uses): parts of entries that record several of the other source's at once; `uses` members of class id_b.
 
     A collective entry names its parts by fragments; for each, entries of linked places (any place where the account is
     null) whose name begins so are looked up, and one per fragment is chosen so that the amounts add up exactly; of
-    several choices that with the fewest days between counts. Entries whose parts don't add up give no rows.
+    several choices that with the fewest days between counts. Entries whose parts don't add up give no rows. A class of
+    `b` may serve as many fragments as it has members (column n).
     """
     many = a.filter("parts is not null").select("id", "day", "amount", "place", F.posexplode("parts").alias("part", "piece"))
     many = many.withColumn("k", F.substring("piece", 1, 3))
-    names = b.select("id", "day", "amount", "place", F.explode("names").alias("w")).filter(F.length("w") >= 2).withColumn("k", F.substring("w", 1, 3))
+    names = b.select("id", "day", "amount", "place", F.col("n").alias("members"), F.explode("names").alias("w")).filter(F.length("w") >= 2).withColumn("k", F.substring("w", 1, 3))
     seen = names.join(linked, names.place == linked.place_b).drop("place", "place_b").withColumnRenamed("place_a", "place")
     begins = F.col("b.w").startswith(F.col("a.piece")) | (F.levenshtein(F.substring(F.col("b.w"), F.lit(1), F.length("a.piece")), F.col("a.piece")) <= 1)
 
@@ -248,7 +250,7 @@ def collective(a: DataFrame, b: DataFrame, linked: DataFrame) -> DataFrame:
         for c in on:
             cond &= F.col(f"a.{c}") == F.col(f"b.{c}")
         gap = (F.col("a.day") - F.col("b.day")).alias("gap")
-        return x.join(y, cond).select("a.id", F.col("a.amount").alias("total"), "a.part", F.col("b.id").alias("id_b"), F.col("b.amount").alias("amount"), gap)
+        return x.join(y, cond).select("a.id", F.col("a.amount").alias("total"), "a.part", F.col("b.id").alias("id_b"), F.col("b.amount").alias("amount"), gap, "b.members")
 
     found = look(many, seen, ["place", "k"]).union(look(many.filter("place is null"), names, ["k"])).distinct()
     sizes = a.filter("parts is not null").select("id", F.size("parts").alias("n"))
@@ -265,8 +267,8 @@ def collective(a: DataFrame, b: DataFrame, linked: DataFrame) -> DataFrame:
                 some = near[near["part"] == part]
                 grown: dict[int, tuple] = {}
                 for s, (cost, ids) in sums.items():
-                    for i, v, g in zip(some["id_b"], some["amount"], some["gap"]):
-                        if i not in ids and abs(s + v) <= abs(total):
+                    for i, v, g, m in zip(some["id_b"], some["amount"], some["gap"], some["members"]):
+                        if ids.count(i) < m and abs(s + v) <= abs(total):
                             option = (cost + abs(int(g) - 1), (*ids, int(i)))
                             if s + v not in grown or option < grown[s + v]:
                                 grown[s + v] = option
@@ -276,15 +278,15 @@ def collective(a: DataFrame, b: DataFrame, linked: DataFrame) -> DataFrame:
             if total in sums:
                 best = sums[total]
                 break
-        ids = best[1] if best else ()
-        return pd.DataFrame({"id_a": [int(pdf["id"].iloc[0])] * len(ids), "id_b": list(ids)}, dtype="int64")
+        uses = Counter(best[1] if best else ())
+        return pd.DataFrame({"id_a": [int(pdf["id"].iloc[0])] * len(uses), "id_b": list(uses), "uses": list(uses.values())}, dtype="int64")
 
-    return found.join(whole, "id").groupBy("id").applyInPandas(solve, "id_a long, id_b long")
+    return found.join(whole, "id").groupBy("id").applyInPandas(solve, "id_a long, id_b long, uses long")
 
 
 def vectors(pairs: DataFrame, a: DataFrame, b: DataFrame, linked: DataFrame) -> DataFrame:
-    """`pairs` (id_a, id_b, summed) with a similarity per feature; null where a side lacks what it takes."""
-    cols = ("day", "amount", "kind", "names", "refs", "unit", "place")
+    """`pairs` (id_a, id_b, summed, uses) with the members of both classes and a similarity per feature; null where a side lacks what it takes."""
+    cols = ("n", "day", "amount", "kind", "names", "refs", "unit", "place")
     x = pairs
     for side, df in (("a", a), ("b", b)):
         x = x.join(df.select(F.col("id").alias(f"id_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in cols)), f"id_{side}")
@@ -305,6 +307,9 @@ def vectors(pairs: DataFrame, a: DataFrame, b: DataFrame, linked: DataFrame) ->
         "id_a",
         "id_b",
         "summed",
+        "uses",
+        "n_a",
+        "n_b",
         gap.alias("days"),
         amount.alias("amount"),
         F.round(name_likeness(F.col("names_a"), F.col("names_b"), F.col("summed")), 3).alias("name"),
@@ -348,15 +353,33 @@ class Mixture:
         return F.greatest(F.least(total, F.lit(40.0)), F.lit(-40.0))
 
 
+def _wants() -> Column:
+    """Members of the class id_b that a pair can take: one for each of the class id_a, or those that a collective entry needs."""
+    return F.when(F.col("summed"), F.col("uses")).otherwise(F.col("n_a"))
+
+
+def _rivals(entry: str, members: str, wants: Column) -> Column:
+    """Odds of all pairs of a class, rivals only as far as they want more members than the pair leaves them.
+
+    A class of one member is always contended for. Rivals below even odds want none.
+    """
+    w = Window.partitionBy(entry)
+    total = F.sum("odds").over(w)
+    strong = F.when(F.col("odds") >= 1, wants).otherwise(0)
+    free, others = F.col(members) - wants, F.sum(strong).over(w) - strong
+    share = F.when(others > free, (others - free) / others).otherwise(0.0)
+    return F.when((free <= 0) | (share == 1), total).otherwise(F.col("odds") + (total - F.col("odds")) * share)
+
+
 def posteriors(x: DataFrame, log_odds: Column) -> DataFrame:
     """Adds `p`. Pairs that share an entry compete: the odds of one are against no match and all its rivals.
 
-    A collective entry's own parts don't compete for it.
+    A collective entry's own parts don't compete for it, nor do pairs for whom a class has members enough.
     """
     odds = x.withColumn("odds", F.exp(log_odds))
-    rivals_b = F.sum("odds").over(Window.partitionBy("id_b"))
-    rivals_a = F.when(F.col("summed"), F.col("odds")).otherwise(F.sum("odds").over(Window.partitionBy("id_a")))
-    return odds.withColumn("rivals_b", rivals_b).withColumn("p", F.col("odds") / (1 + F.greatest(rivals_a, F.col("rivals_b")))).drop("odds", "rivals_b")
+    rivals_a = F.when(F.col("summed"), F.col("odds")).otherwise(_rivals("id_a", "n_a", F.col("n_b")))
+    rivals = odds.withColumn("rivals_b", _rivals("id_b", "n_b", _wants()))
+    return rivals.withColumn("p", F.col("odds") / (1 + F.greatest(rivals_a, F.col("rivals_b")))).drop("odds", "rivals_b")
 
 
 def fit(x: DataFrame, rounds: int = ROUNDS) -> Mixture:
@@ -393,54 +416,77 @@ def fit(x: DataFrame, rounds: int = ROUNDS) -> Mixture:
 
 
 def assign(x: DataFrame, mixture: Mixture, least: float = 0.5, rounds: int = 3) -> DataFrame:
-    """(id_a, id_b, confidence): pairs of posterior `least` and more, each entry once (collective ones: each part once).
+    """(round, id_a, id_b, summed, k, confidence): pairs of classes of posterior `least` and more and how many members each takes;
+    each member once (collective entries: each part once).
 
-    Rounds of mutual best choices, after each of which the entries chosen no longer compete. Ties go to the fewer days,
-    then to the smaller ids.
+    In each round every class serves its pairs from the best on while members last, after which the members chosen no longer
+    compete and what is left of both classes does. Ties go to the fewer days, then to the smaller ids.
     """
     rest, chosen = x, None
     better = [F.col("p").desc(), F.abs(F.col("days") - 1), "id_a", "id_b"]
-    for _ in range(rounds):
-        ranked = posteriors(rest, mixture.log_odds()).filter(F.col("p") >= least).withColumns({
-            "in_b": F.row_number().over(Window.partitionBy("id_b").orderBy(*better)),
-            "in_a": F.when(F.col("summed"), 1).otherwise(F.row_number().over(Window.partitionBy("id_a", "summed").orderBy(*better))),
-        })
-        best = checkpointed(ranked.filter("in_a = 1 and in_b = 1").select("id_a", "id_b", "summed", "p"))
+    before = lambda wants, *keys: F.coalesce(F.sum(wants).over(Window.partitionBy(*keys).orderBy(*better).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    for nth in range(rounds):
+        ranked = posteriors(rest, mixture.log_odds()).filter(F.col("p") >= least)
+        ranked = ranked.withColumn("left_b", F.col("n_b") - before(_wants(), "id_b"))
+        ranked = ranked.withColumn("left_a", F.col("n_a") - before(F.col("n_b"), "id_a", "summed"))
+        k = F.least(_wants(), "left_b", F.when(~F.col("summed"), F.col("left_a"))).alias("k")
+        best = checkpointed(ranked.select(F.lit(nth).alias("round"), "id_a", "id_b", "summed", k, "p").filter("k > 0"))
         chosen = best if chosen is None else chosen.union(best)
         if best.isEmpty():
             break
-        rest = x.join(chosen.select("id_b"), "id_b", "left_anti").join(chosen.filter("not summed").select("id_a"), "id_a", "left_anti")
-    return chosen.select("id_a", "id_b", F.col("p").alias("confidence"))
+        took_a = chosen.filter("not summed").groupBy("id_a").agg(F.sum("k").alias("took_a"))
+        took_b = chosen.groupBy("id_b").agg(F.sum("k").alias("took_b"))
+        parts = chosen.filter("summed").groupBy("id_a", "id_b").agg(F.sum("k").alias("took"))
+        left = lambda n, took: (F.col(n) - F.coalesce(took, F.lit(0))).alias(n)
+        rest = x.join(took_b, "id_b", "left").join(took_a, "id_a", "left").join(parts, ["id_a", "id_b"], "left")
+        rest = rest.withColumns({"n_a": left("n_a", F.col("took_a")), "n_b": left("n_b", F.col("took_b")), "uses": left("uses", F.col("took"))})
+        rest = rest.filter("n_a > 0 and n_b > 0 and (not summed or uses > 0)").select(*x.columns)
+    return chosen.withColumnRenamed("p", "confidence")
 
 
 def classes(df: DataFrame) -> DataFrame:
     """Adds `rep` and `nth`: entries that agree in all evidence are one class, named by its least id and numbered by id.
 
     Members of a class can't be told apart, so classes are matched instead of entries: a table in which a third of all
-    rows agree makes no more pairs than its classes do. Classes are told by 128 bits of a hash.
+    rows agree makes no more pairs than its classes do. Classes are told by 128 bits of a hash. A collective entry is a class
+    of its own, as each needs other parts. `n` is the number of members.
     """
-    evidence = ["place", "day", "amount", "kind", F.array_sort("names"), F.array_sort("refs"), "unit", "parts"]
+    evidence = ["place", "day", "amount", "kind", F.array_sort("names"), F.array_sort("refs"), "unit", F.when(F.col("parts").isNotNull(), F.col("id"))]
     keyed = df.withColumns({f"_h{k}": F.xxhash64(F.lit(k), *evidence) for k in (1, 2)})
     w = Window.partitionBy("_h1", "_h2").orderBy("id")
-    return keyed.withColumns({"nth": F.row_number().over(w), "rep": F.first("id").over(w)}).drop("_h1", "_h2")
+    n = F.count("*").over(Window.partitionBy("_h1", "_h2"))
+    return keyed.withColumns({"nth": F.row_number().over(w), "rep": F.first("id").over(w), "n": n}).drop("_h1", "_h2")
+
+
+def members(chosen: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id_a, id_b, confidence) of the members that the pairs of classes in `chosen` take; `a` and `b` have rep, nth and id.
+
+    The pairs of a class take its members by number, one pair after the other. A collective entry is the one member of its class.
+    """
+    before = lambda *keys: F.coalesce(F.sum("k").over(Window.partitionBy(*keys).orderBy("round", "id_a", "id_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = chosen.withColumns({"from_a": F.when(F.col("summed"), 0).otherwise(before("id_a", "summed")), "from_b": before("id_b")})
+    x = x.select(F.col("id_a").alias("rep_a"), F.col("id_b").alias("rep_b"), "summed", "from_a", "from_b", "confidence", F.explode(F.sequence(F.lit(1).cast("bigint"), "k")).alias("i"))
+    x = x.withColumns({"nth_a": F.when(F.col("summed"), 1).otherwise(F.col("from_a") + F.col("i")), "nth_b": F.col("from_b") + F.col("i")})
+    for side, df in (("a", a), ("b", b)):
+        x = x.join(df.select(F.col("rep").alias(f"rep_{side}"), F.col("nth").cast("bigint").alias(f"nth_{side}"), F.col("id").alias(f"id_{side}")), [f"rep_{side}", f"nth_{side}"])
+    return x.select("id_a", "id_b", "confidence")
 
 
 def match(bank: DataFrame, book: DataFrame) -> DataFrame:
     """(id_a, id_b, confidence): the bank's and the ledger's entries that record the same movement.
 
     Null parties, memos, kinds and places are missing evidence, not disagreement. Repeated deliveries count once. Of
-    entries that agree in all evidence the n-th of one source pairs with the n-th of the other. Empty tables give an empty
-    result.
+    entries that agree in all evidence the n-th of one source pairs with the n-th of the other; those beyond go on to the
+    next best class. Empty tables give an empty result.
     """
     a, b = checkpointed(entries(bank, "account")), checkpointed(entries(book, "ledger_name"))
     phrases = set_phrases(a, b)
     a, b = (checkpointed(classes(with_names(x, phrases))) for x in (a, b))
-    members_a, members_b = a.select(F.col("rep").alias("rep_a"), "nth", F.col("id").alias("id_a")), b.select(F.col("rep").alias("rep_b"), "nth", F.col("id").alias("id_b"))
+    all_a, all_b = (x.select("rep", "nth", "id") for x in (a, b))
     a, b = (x.filter("nth = 1").drop("rep", "nth") for x in (a, b))
     linked = _counted(checkpointed(links(a, b)))
-    sums = collective(a, b, linked)
+    sums = collective(a, b, linked).select("id_a", "id_b", F.lit(True).alias("summed"), "uses")
     single = candidates(a.filter("parts is null"), b, linked)
-    pairs = single.withColumn("summed", F.lit(False)).union(sums.withColumn("summed", F.lit(True)))
+    pairs = single.select("id_a", "id_b", F.lit(False).alias("summed"), F.lit(1).cast("bigint").alias("uses")).union(sums)
     x = checkpointed(vectors(pairs, a, b, linked))
-    found = assign(x, fit(x)).select(F.col("id_a").alias("rep_a"), F.col("id_b").alias("rep_b"), "confidence")
-    return found.join(members_a, "rep_a").join(members_b, ["rep_b", "nth"]).select("id_a", "id_b", "confidence")
+    return members(assign(x, fit(x)), all_a, all_b)

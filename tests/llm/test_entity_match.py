@@ -129,3 +129,22 @@ def test_hot_class_is_linear(spark):
     hot = [(r.id_a, r.id_b) for r in found if r.id_a >= 10**7]
     assert len(hot) == 2900 and len({a for a, _ in hot}) == len({b for _, b in hot}) == 2900
     assert len({(r.id_a, r.id_b) for r in found} & true) > 0.85 * len(true)
+
+
+@pytest.mark.parametrize("kinds", [("deposit", "transfer"), ("deposit", "deposit")])
+def test_members_left_over_go_to_the_next_class(spark, kinds):
+    t = datetime(2025, 1, 1)
+    bank, book, _ = _plant(6, 400, 3)
+    same = [(10**7 + k, "x-0001", date(2025, 3, 4), 77_700, "ACH DEP DORVELKAS M", "deposit", None, t) for k in range(100)]
+    twins = [(2 * 10**7 + k, "Ledger 1", date(2025, 3, 3 + (k >= 50)), 77_700, "rent", kinds[k >= 50], "Minvel Dorvelkas", t) for k in range(100)]
+    found = [(r.id_a, r.id_b) for r in em.match(spark.createDataFrame(bank + same, BANK), spark.createDataFrame(book + twins, BOOK)).collect() if r.id_a >= 10**7]
+    assert len(found) == 100 and len({a for a, _ in found}) == len({b for _, b in found}) == 100
+
+
+def test_two_collective_entries_share_a_class(spark):
+    t = datetime(2025, 1, 1)
+    bank, book, _ = _plant(7, 400, 3)
+    batch = [(10**7 + k, "x-0001", date(2025, 3, 4 + k), 60_000, "BATCH DEP 2 ITEMS ZENQUI/MARPEL", "deposit", None, t) for k in range(2)]
+    parts = [(2 * 10**7 + 2 * k + j, "Ledger 1", date(2025, 3, 3), v, "Rent", "deposit", who, t) for k in range(2) for j, (v, who) in enumerate(((20_000, "Hal Zenquilun"), (40_000, "Bor Marpelgri")))]
+    found = [(r.id_a, r.id_b) for r in em.match(spark.createDataFrame(bank + batch, BANK), spark.createDataFrame(book + parts, BOOK)).collect() if r.id_a >= 10**7]
+    assert sorted(b for _, b in found) == [r[0] for r in parts] and sorted(a for a, _ in found) == [10**7, 10**7, 10**7 + 1, 10**7 + 1]
