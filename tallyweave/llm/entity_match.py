@@ -9,6 +9,7 @@ pairs that share an entry compete and their posteriors cannot add up to more tha
 
 from __future__ import annotations
 
+import itertools
 import math
 import unicodedata
 from collections import Counter
@@ -415,17 +416,18 @@ def fit(x: DataFrame, rounds: int = ROUNDS) -> Mixture:
     return mixture
 
 
-def assign(x: DataFrame, mixture: Mixture, least: float = 0.5, rounds: int = 3) -> DataFrame:
+def assign(x: DataFrame, mixture: Mixture, least: float = 0.5) -> DataFrame:
     """(round, id_a, id_b, summed, k, confidence): pairs of classes of posterior `least` and more and how many members each takes;
     each member once (collective entries: each part once).
 
     In each round every class serves its pairs from the best on while members last, after which the members chosen no longer
-    compete and what is left of both classes does. Ties go to the fewer days, then to the smaller ids.
+    compete and what is left of both classes does, until a round chooses nothing. Each takes a member at least, so the rounds
+    end. Ties go to the fewer days, then to the smaller ids.
     """
     rest, chosen = x, None
     better = [F.col("p").desc(), F.abs(F.col("days") - 1), "id_a", "id_b"]
     before = lambda wants, *keys: F.coalesce(F.sum(wants).over(Window.partitionBy(*keys).orderBy(*better).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    for nth in range(rounds):
+    for nth in itertools.count():
         ranked = posteriors(rest, mixture.log_odds()).filter(F.col("p") >= least)
         ranked = ranked.withColumn("left_b", F.col("n_b") - before(_wants(), "id_b"))
         ranked = ranked.withColumn("left_a", F.col("n_a") - before(F.col("n_b"), "id_a", "summed"))
@@ -434,6 +436,8 @@ def assign(x: DataFrame, mixture: Mixture, least: float = 0.5, rounds: int = 3)
         chosen = best if chosen is None else chosen.union(best)
         if best.isEmpty():
             break
+        if nth % 8 == 7:  # chains free a pair a round; the plan must not grow with them
+            chosen = checkpointed(chosen)
         took_a = chosen.filter("not summed").groupBy("id_a").agg(F.sum("k").alias("took_a"))
         took_b = chosen.groupBy("id_b").agg(F.sum("k").alias("took_b"))
         parts = chosen.filter("summed").groupBy("id_a", "id_b").agg(F.sum("k").alias("took"))

@@ -148,3 +148,14 @@ def test_two_collective_entries_share_a_class(spark):
     parts = [(2 * 10**7 + 2 * k + j, "Ledger 1", date(2025, 3, 3), v, "Rent", "deposit", who, t) for k in range(2) for j, (v, who) in enumerate(((20_000, "Hal Zenquilun"), (40_000, "Bor Marpelgri")))]
     found = [(r.id_a, r.id_b) for r in em.match(spark.createDataFrame(bank + batch, BANK), spark.createDataFrame(book + parts, BOOK)).collect() if r.id_a >= 10**7]
     assert sorted(b for _, b in found) == [r[0] for r in parts] and sorted(a for a, _ in found) == [10**7, 10**7, 10**7 + 1, 10**7 + 1]
+
+
+def test_chains_are_followed_to_the_end(spark):
+    class Given:
+        def log_odds(self):
+            return F.col("odds_of_test")
+
+    # Each entry is drawn to the one before until that is taken, so that each round frees one pair.
+    rows = [(i + j, 100 + i, False, 1, 1, 1, 1, 30.0 - 3 * i - 1.5 * j) for i in range(10) for j in (0, 1)]
+    x = spark.createDataFrame(rows, "id_a long, id_b long, summed boolean, uses long, n_a long, n_b long, days int, odds_of_test double")
+    assert sorted((r.id_a, r.id_b) for r in em.assign(x, Given()).collect()) == [(i, 100 + i) for i in range(10)]
