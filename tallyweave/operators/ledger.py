@@ -161,26 +161,40 @@ def match_reversals(a: DataFrame, b: DataFrame, returned: Column, days: int = 3)
     return _greedy(a, b, pairs, True).select("id_a", "id_b", F.least(F.lit(0.95), confidence).alias("confidence"))
 
 
-def match_splits(single: DataFrame, parts: DataFrame, days: int = 3, most_parts: int = 3, most_candidates: int = 24) -> DataFrame:
-    """(id, part_ids, confidence): a row of `single` that is the exact sum of 2 to `most_parts` rows of `parts` within `days`.
+def _split_pools(single: DataFrame, parts: DataFrame, days: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of `single` per day of their window with `below`, the parts of that day and sign that are smaller, and the parts by rank.
 
-    The search declines where more than `most_candidates` rows could take part, rather than trying them all: that is the
-    operator's contract, as the reference defines it. Each part is used once; rows are served by date and id.
+    Candidates are counted before any are paired: in each day of the window, the parts below the amount are as many as
+    precede it in the day's order by size. Single rows are repeated per day, never per part.
     """
     sign = F.signum("amount").cast("int")
-    # Candidates are counted before any are paired: in each day of the window, the parts below the amount are as many as
-    # precede it in the day's order by size. Single rows are repeated per day, never per part.
     near = F.explode(F.sequence(F.date_sub("date", days), F.date_add("date", days)))
     x = single.select("id", "amount", sign.alias("sign"), near.alias("day"))
     y = parts.select(F.col("id").alias("part"), "amount", sign.alias("sign"), F.col("date").alias("day"))
     stacked = x.select("id", F.lit(None).cast(y.schema["part"].dataType).alias("part"), "amount", "sign", "day").unionByName(y.select(F.lit(None).cast(x.schema["id"].dataType).alias("id"), "part", "amount", "sign", "day"))
     by_size = Window.partitionBy("sign", "day").orderBy(F.abs("amount"), F.col("part").isNotNull(), "part")
     seen = stacked.withColumn("below", F.count("part").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
-    wanted = seen.filter("id is not null and below > 0").select("id", "amount", "sign", "day", "below")
+    return seen.filter("id is not null and below > 0").select("id", "amount", "sign", "day", "below"), seen.filter("part is not null")
+
+
+def splits_declined(single: DataFrame, parts: DataFrame, days: int = 3, most_candidates: int = 24) -> DataFrame:
+    """(id, candidates) of the rows that match_splits() declines to search, having more than `most_candidates` candidates."""
+    wanted, _ = _split_pools(single, parts, days)
+    return wanted.groupBy("id").agg(F.sum("below").alias("candidates")).filter(F.col("candidates") > most_candidates)
+
+
+def match_splits(single: DataFrame, parts: DataFrame, days: int = 3, most_parts: int = 3, most_candidates: int = 24) -> DataFrame:
+    """(id, part_ids, confidence): a row of `single` that is the exact sum of 2 to `most_parts` rows of `parts` within `days`.
+
+    The search declines where more than `most_candidates` rows could take part, rather than trying them all: that is the
+    operator's contract, as the reference defines it; splits_declined() has those rows. Each part is used once; rows are
+    served by date and id.
+    """
+    wanted, seen = _split_pools(single, parts, days)
     few = wanted.groupBy("id").agg(F.sum("below").alias("n")).filter(F.col("n").between(2, most_candidates)).select("id")
     # At most `most_candidates` rows per single row meet their parts by rank.
     ranks = wanted.join(few, "id").select("id", "amount", "sign", "day", F.explode(F.sequence(F.lit(1).cast("bigint"), "below")).alias("below"))
-    ranked = seen.filter("part is not null").select("part", F.col("amount").alias("pa"), "sign", "day", "below")
+    ranked = seen.select("part", F.col("amount").alias("pa"), "sign", "day", "below")
     pool = ranks.join(ranked, ["sign", "day", "below"]).select("id", "amount", "part", "pa")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -209,19 +223,22 @@ def match_splits(single: DataFrame, parts: DataFrame, days: int = 3, most_parts:
 
 def match_all(a: DataFrame, b: DataFrame, returned: Column, days: int = 3, most_parts: int = 3, most_candidates: int = 24) -> dict[str, DataFrame]:
     """The four passes in order; each sees what the ones before left. Keys: matched (id_a, id_b, kind, confidence), splits,
-    unmatched_a, unmatched_b. Every row of either side ends in exactly one of them."""
+    unmatched_a, unmatched_b. Every row of either side ends in exactly one of them. declined_a and declined_b (id, candidates)
+    tell for which unmatched rows no split was searched."""
     drop = lambda df, used, tag: df.join(used.select(F.col(f"id_{tag}").alias("id")), "id", "left_anti")
     matched = None
     for kind, run in (("exact", match_exact), ("window", lambda x, y: match_window(x, y, days)), ("reversal", lambda x, y: match_reversals(x, y, returned, days))):
         found = checkpointed(run(a, b).withColumn("kind", F.lit(kind)))
         matched = found if matched is None else matched.unionByName(found)
         a, b = checkpointed(drop(a, found, "a")), checkpointed(drop(b, found, "b"))
+    start_a, start_b = a, b
     one = checkpointed(match_splits(a, b, days, most_parts, most_candidates))
     a, b = drop(a, one.withColumnRenamed("id", "id_a"), "a"), drop(b, one.select(F.explode("part_ids").alias("id_b")), "b")
     two = checkpointed(match_splits(b, a, days, most_parts, most_candidates))
+    whole_a, whole_b = splits_declined(start_a, start_b, days, most_candidates), splits_declined(b, a, days, most_candidates)
     b, a = drop(b, two.withColumnRenamed("id", "id_b"), "b"), drop(a, two.select(F.explode("part_ids").alias("id_a")), "a")
     splits = one.withColumn("single_side", F.lit("a")).unionByName(two.withColumn("single_side", F.lit("b")))
-    return {"matched": matched, "splits": splits, "unmatched_a": a, "unmatched_b": b}
+    return {"matched": matched, "splits": splits, "unmatched_a": a, "unmatched_b": b, "declined_a": whole_a.join(a.select("id"), "id", "left_semi"), "declined_b": whole_b.join(b.select("id"), "id", "left_semi")}
 
 
 def attribute(texts: DataFrame, names: DataFrame) -> DataFrame:

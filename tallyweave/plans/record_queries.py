@@ -121,22 +121,24 @@ def match_reversals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def match_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     bank, book = _bank(spark, sf_dir), _book(spark, sf_dir)
-    # Of the rest that no single entry equals, within one party's entries.
+    # Of the rest that no single entry equals. Parts may be any party's, as a batch names several; the sides' places share no key.
     return ledger.match_splits(ledger.residue(bank, book).drop("place"), ledger.residue(book, bank).drop("place"), 2, 3, 24)
 
 
 @query()
 def match_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of either side with the bucket it ends in."""
+    """Every row of either side with the bucket it ends in; `declined` has unmatched rows with too many candidates for a split to be searched."""
     returned = (F.col("kind") == "nsf") | F.lower("memo").rlike(text.RETURNED)
     out = ledger.match_all(_bank(spark, sf_dir), _book(spark, sf_dir), returned)
     m, s = out["matched"], out["splits"]
     single = F.when(F.col("single_side") == "a", "a").otherwise("b")
     parts = F.when(F.col("single_side") == "a", "b").otherwise("a")
+    bucket = F.when(F.col("candidates").isNotNull(), "declined").otherwise("unmatched").alias("bucket")
+    rest = lambda side: out[f"unmatched_{side}"].join(out[f"declined_{side}"], "id", "left").select(F.lit(side).alias("side"), "id", bucket)
     rows = [
         m.select(F.lit("a").alias("side"), F.col("id_a").alias("id"), F.col("kind").alias("bucket")), m.select(F.lit("b").alias("side"), F.col("id_b").alias("id"), F.col("kind").alias("bucket")),
         s.select(single.alias("side"), "id", F.lit("split").alias("bucket")), s.select(parts.alias("side"), F.explode("part_ids").alias("id"), F.lit("split").alias("bucket")),
-        out["unmatched_a"].select(F.lit("a").alias("side"), "id", F.lit("unmatched").alias("bucket")), out["unmatched_b"].select(F.lit("b").alias("side"), "id", F.lit("unmatched").alias("bucket")),
+        rest("a"), rest("b"),
     ]
     union = rows[0]
     for r in rows[1:]:

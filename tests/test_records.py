@@ -165,6 +165,13 @@ def test_splits_decline_and_serve_once(spark):
     assert ledger.match_splits(one, parts.limit(0)).count() == 0
 
 
+def test_declined_splits_are_reported(spark):
+    parts = _tx(spark, *[(10 + k, 5, v, "", "", "") for k, v in enumerate((10, 20, 30, 40, 50))])
+    out = ledger.match_all(_tx(spark, (1, 5, 60, "", "", ""), (2, 20, 60, "", "", "")), parts, F.lit(False), most_candidates=4)
+    assert [tuple(r) for r in out["declined_a"].collect()] == [(1, 5)] and out["declined_b"].count() == 0
+    assert sorted(r.id for r in out["unmatched_a"].collect()) == [1, 2]
+
+
 def test_splits_against_brute_force(spark):
     rng = random.Random(5)
     for _ in range(3):
