@@ -159,3 +159,7 @@ def test_chains_are_followed_to_the_end(spark):
     rows = [(i + j, 100 + i, False, 1, 1, 1, 1, 30.0 - 3 * i - 1.5 * j) for i in range(10) for j in (0, 1)]
     x = spark.createDataFrame(rows, "id_a long, id_b long, summed boolean, uses long, n_a long, n_b long, days int, odds_of_test double")
     assert sorted((r.id_a, r.id_b) for r in em.assign(x, Given()).collect()) == [(i, 100 + i) for i in range(10)]
+
+
+def test_the_fit_settles_finely():
+    assert em.SETTLED <= 0.002
