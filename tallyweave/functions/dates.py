@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Months by their first letters, and their accepted names.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 _MONTH = r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
-#: Accepted forms of a day: pattern, and its groups in the order year, month, day.
+# Accepted forms of a day: pattern, and its groups in the order year, month, day.
 FORMS = (
     (r"^(\d{4})-(\d{2})-(\d{2})$", "|$1|$2|$3"),
     (r"^(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})$", "|$3|$1|$2"),
@@ -19,9 +20,8 @@ FORMS = (
 
 def safe_date(year: Column, month: Column, day: Column) -> Column:
     """The day, null unless a real one."""
-    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
-    last = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
-    return F.when((year >= 1) & month.between(1, 12) & (day >= 1) & (day <= last), F.make_date(year, month, day))
+    first = F.when((year >= 1) & (year <= 9999) & month.between(1, 12), F.make_date(year, month, F.lit(1)))
+    return F.when((day >= 1) & (day <= F.day(F.last_day(first))), F.date_add(first, day - 1))
 
 
 def parse_date(text: Column) -> Column:

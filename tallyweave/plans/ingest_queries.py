@@ -25,8 +25,13 @@ def p1_lifespans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All feeds as one table with constant columns."""
-    return drift.unified(*_feeds(spark, sf_dir))
+    """All feeds as one table with constant columns of one type each, and what could not be cast."""
+    return drift.typed(*_feeds(spark, sf_dir)).drop("json_types")
+
+
+def p1_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values cast and failed by file, field and JSON type."""
+    return drift.cast_report(drift.typed(*_feeds(spark, sf_dir)))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +67,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_lifespans": p1_lifespans,
     "p1_table": p1_table,
+    "p1_casts": p1_casts,
     "p2_found": p2_found,
     "p2_runs": _flat("runs"),
     "p2_rules": _flat("rules"),

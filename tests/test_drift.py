@@ -78,6 +78,30 @@ def test_unified_and_lifespans(spark):
     assert spans == [("date", "date", 1, 1), ("date", "posted", 2, 2), ("kind", "type", 1, 1), ("party", "payee", 1, 2)]
 
 
+def test_typed(spark):
+    records = [
+        (1, 0, {"Date": "2025-01-02T10:00:00Z", "Payee": " Ada Byron ", "Type": {"code": 4, "label": "Fee"}}),
+        (1, 1, {"Date": "3.2.2025", "Payee": ["Bo", "Chen"], "Type": ["chk", "rent"]}),
+        (1, 2, {"Date": [2025, 2, 30], "Payee": {"name": "Cy Dorn", "unit": "3"}, "Type": 4}),
+        (1, 3, {"Date": {"y": 2024, "m": 2, "d": 29}, "Payee": 70123, "Type": 9}),
+        (2, 0, {"Posted": 20250131, "Type": True}),
+        (2, 1, {"Posted": 1735689600, "Type": "DEP", "Payee": " "}),
+        (2, 2, "no json"),
+        (2, 3, {"Memo": "x"}),
+    ]
+    t = drift.typed(*_run(spark, [_file(1, 1), _file(2, 2)], records + records))
+    assert dict(t.dtypes)["date"] == "date"
+    got = sorted((r.file_id, r.row_no, str(r.date), r.party, r.kind, r.readable, tuple(r.failed)) for r in t.collect())
+    assert got == [
+        (1, 0, "2025-01-02", "Ada Byron", "fee", True, ()), (1, 1, "2025-02-03", "Bo Chen", "check", True, ()), (1, 2, "None", "Cy Dorn", "fee", True, ("date",)),
+        (1, 3, "2024-02-29", "70123", "9", True, ()), (2, 0, "2025-01-31", None, None, True, ("kind",)), (2, 1, "2025-01-01", None, "deposit", True, ("party",)),
+        (2, 2, "None", None, None, False, ()), (2, 3, "None", None, None, True, ()),
+    ]
+    bad = sorted((r.file_id, r.field, r.json_type, r.rows, r.failed) for r in drift.cast_report(t).filter("failed > 0").collect())
+    assert bad == [(1, "date", "array", 1, 1), (2, "kind", "boolean", 1, 1), (2, "party", "string", 1, 1)]
+    assert {r.reads for r in drift.casts(_run(spark, [], [])[2]).filter("name = 'posted'").collect()} == {"day text", "yyyymmdd or epoch", "members y, m, d", "items year, month, day"}
+
+
 @pytest.mark.parametrize("payload", [None, "", "[]", "{", "null", "{}", '{"": 1}', '{"Date": "' + "9" * 200_000 + '"}'])
 def test_odd_payloads(spark, payload):
     records = _rows(1, 3, Date=DAYS) + _rows(2, 3, Date=DAYS) + [(2, 7, payload)]
