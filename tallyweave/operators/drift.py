@@ -36,8 +36,8 @@ _NAME = r"^[\p{L}\p{M}'’.&,\- ]*\p{L}{2,}[\p{M}.,]*[ ,]+[&\p{L}][\p{L}\p{M}'
 
 
 def folded(key: Column) -> Column:
-    """A key trimmed and in lower case."""
-    return F.lower(F.regexp_replace(key, r"^[\s\u00a0]+|[\s\u00a0]+$", ""))
+    """A key trimmed (white space and no-break spaces) and in lower case."""
+    return F.lower(F.btrim(key, F.lit(" \t\n\x0b\f\r\u00a0")))
 
 
 def known_names(aliases: DataFrame) -> DataFrame:
@@ -69,14 +69,16 @@ def footer(records: DataFrame) -> DataFrame:
     return pairs.filter(folded(F.col("key")) != "").select("file_id", "row_no", folded(F.col("key")).alias("name"), json_type.alias("json_type"), F.try_variant_get("value", "$", "string").alias("text"))
 
 
-def catalogue(records: DataFrame) -> DataFrame:
+def catalogue(records: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Footer metadata: one row per (file_id, name) with the rows that have the key, its types and what its values look like.
 
-    Columns: n_rows, n_string, n_number, n_object, n_array, n_boolean, as_date, as_kind, as_party (values that look so),
-    low and high (least and greatest text, to tell constants).
+    Columns: n_rows, n_string, n_number, n_object, n_array, n_boolean, known (its field by the alias table); as_date, as_kind,
+    as_party (values that look so), low and high (least and greatest text, to tell constants) of names without one. What
+    values of known names look like decides nothing and is not asked. The alias table is fixed, a few dozen rows.
     """
     x = footer(records)
-    text, kind = F.col("text"), F.col("json_type")
+    x = x.withColumn("known", F.lit(None).cast("string")) if aliases is None else x.join(F.broadcast(known_names(aliases)), "name", "left")
+    text, kind = F.when(F.col("known").isNull(), F.col("text")), F.col("json_type")
     word = F.lower(F.btrim(text))
     inner = F.lower(text)
     kind_inside = r'"(?:' + "|".join(KIND_WORDS) + r')"'
@@ -91,14 +93,16 @@ def catalogue(records: DataFrame) -> DataFrame:
         .when(nested, text.rlike(r'"[^"]*\p{L}{2,}[^"]*"\s*[,\]}]') & ~inner.rlike(kind_inside) & text.rlike(r'(?i)"[a-z_]*name"\s*:|^\s*\[\s*"[^"]*"\s*,\s*"|"[^"]*\p{L}{2,}[ ,]+\p{L}[^"]*"'))
     )
     yes = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    one = x.withColumns({"d": F.coalesce(looks_date, F.lit(False)), "k": F.coalesce(looks_kind, F.lit(False))})
-    one = one.withColumn("p", F.coalesce(looks_party, F.lit(False)) & ~F.col("d") & ~F.col("k"))
-    return one.groupBy("file_id", "name").agg(
+    # Asked in turn, so that a value that looks like a date is not asked for the others.
+    looks = F.when(looks_date, F.when(looks_kind, "dk").otherwise("d")).when(looks_kind, "k").when(looks_party, "p")
+    x = x.withColumn("looks", F.when(F.col("known").isNull(), looks))
+    return x.groupBy("file_id", "name").agg(
         F.count("*").alias("n_rows"),
-        *(yes(kind == t).alias(f"n_{t}") for t in ("string", "number", "object", "array", "boolean")),
-        *(F.count_if(c).alias(f"as_{f}") for c, f in (("d", "date"), ("k", "kind"), ("p", "party"))),
-        F.min("text").alias("low"),
-        F.max("text").alias("high"),
+        *(yes(kind == t).alias(f"n_{t}") for t in TYPES),
+        *(yes(F.col("looks").contains(c)).alias(f"as_{f}") for c, f in (("d", "date"), ("k", "kind"), ("p", "party"))),
+        F.min(text).alias("low"),
+        F.max(text).alias("high"),
+        F.first("known").alias("known"),
     )
 
 
@@ -142,7 +146,7 @@ def described(records: DataFrame, files: DataFrame, aliases: DataFrame) -> tuple
     """(deliveries, catalogue with feed_id and period_no, meanings) of the deliveries that count. The catalogue, a row per key of
     a file, is read several times and written once."""
     last = deliveries(files)
-    cat = checkpointed(catalogue(records.join(last.select("file_id"), "file_id", "left_semi")).join(last, "file_id"))
+    cat = checkpointed(catalogue(records.join(last.select("file_id"), "file_id", "left_semi"), aliases).join(last, "file_id"))
     return last, cat, meanings(cat, aliases).filter(F.col("field").isin(*FIELDS))
 
 

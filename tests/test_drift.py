@@ -102,6 +102,13 @@ def test_typed(spark):
     assert {r.reads for r in drift.casts(_run(spark, [], [])[2]).filter("name = 'posted'").collect()} == {"day text", "yyyymmdd or epoch", "members y, m, d", "items year, month, day"}
 
 
+def test_known_names_are_not_looked_at(spark):
+    records = _rows(1, 3, Date=DAYS, Memo=NAMES, x=DAYS)
+    r, f, a = _run(spark, [_file(1, 1)], records)
+    cat = {x["name"]: (x.known, x.as_date, x.low) for x in drift.catalogue(r, a).collect()}
+    assert cat == {"date": ("date", 0, None), "memo": ("memo", 0, None), "x": (None, 3, "2025-01-02")}
+
+
 @pytest.mark.parametrize("payload", [None, "", "[]", "{", "null", "{}", '{"": 1}', '{"Date": "' + "9" * 200_000 + '"}'])
 def test_odd_payloads(spark, payload):
     records = _rows(1, 3, Date=DAYS) + _rows(2, 3, Date=DAYS) + [(2, 7, payload)]
