@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyweave.operators import badrows, drift, instants, nested
 from tallyweave.session import table
@@ -44,6 +46,23 @@ def _flat(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: nested.flat_table(table(spark, sf_dir, "finding_report"), name)
 
 
+def p2_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(report_id, reason) of the reports whose latest payload is no JSON object."""
+    return nested.flat_table(table(spark, sf_dir, "finding_report"), "unreadable")
+
+
+def p2_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue of the structures that results have, by subtype."""
+    return nested.shape_catalogue(nested.flat_table(table(spark, sf_dir, "finding_report"), "shapes"))
+
+
+def p2_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(table_name, reports, rows) of every flat table, all from one parse."""
+    tables = nested.flat_tables(table(spark, sf_dir, "finding_report"))
+    counts = [df.agg(F.lit(name).alias("table_name"), F.count_distinct("report_id").alias("reports"), F.count("*").alias("rows")) for name, df in tables.items() if name != "shapes"]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return badrows.parse_records(table(spark, sf_dir, "raw_record"), table(spark, sf_dir, "ingest_file"))
 
@@ -73,8 +92,68 @@ QUERIES = {
     "p2_rules": _flat("rules"),
     "p2_results": _flat("results"),
     "p2_locations": _flat("locations"),
+    **{f"p2_results_{name}": _flat(f"results_{name}") for name in nested.SUBTYPES},
+    "p2_unreadable": p2_unreadable,
+    "p2_shapes": p2_shapes,
+    "p2_tables": p2_tables,
     "p3_found": p3_found,
     "p3_valid": p3_valid,
     "p4_found": p4_found,
 }
 ORACLE: dict[str, str] = {}
+
+# SQL of the nested reports. A report's payload is cast once; lists are taken apart with their positions.
+
+
+def _items(json: str, path: str) -> str:
+    """SQL: the members of a list as a list, an object as a list of one, else none."""
+    return f"CASE json_type({json}, '{path}') WHEN 'ARRAY' THEN CAST(json_extract({json}, '{path}') AS JSON[]) WHEN 'OBJECT' THEN [json_extract({json}, '{path}')] ELSE CAST([] AS JSON[]) END"
+
+
+def _string(json: str, path: str) -> str:
+    return f"CASE WHEN json_type({json}, '{path}') = 'VARCHAR' THEN json_extract_string({json}, '{path}') END"
+
+
+def _number(json: str, path: str) -> str:
+    return f"CASE WHEN json_type({json}, '{path}') IN ('UBIGINT', 'BIGINT') THEN CAST(json_extract({json}, '{path}') AS BIGINT) END"
+
+
+_PAYLOADS = """last AS (SELECT report_id, payload, ltrim(payload, chr(65279)) AS p FROM finding_report QUALIFY row_number() OVER (PARTITION BY report_id ORDER BY received_at DESC NULLS LAST) = 1),
+  told AS (SELECT report_id, CASE WHEN payload IS NULL THEN 'missing' WHEN trim(p, chr(32) || chr(9) || chr(10) || chr(13)) = '' THEN 'blank' WHEN NOT json_valid(p) THEN 'malformed' WHEN json_type(p) <> 'OBJECT' THEN 'no_object' END AS reason, p FROM last),
+  report AS (SELECT report_id, CAST(CASE WHEN reason IS NULL THEN p ELSE '{}' END AS JSON) AS j FROM told)"""
+_RUNS = f"""{_PAYLOADS}, rs AS (SELECT report_id, {_items("j", "$.runs")} AS l FROM report),
+  run AS (SELECT report_id, CAST(k - 1 AS INTEGER) AS run_no, r, {_string("r", "$.tool.driver.name")} AS driver_name, {_items("r", "$.tool.driver.rules")} AS rules, {_items("r", "$.tool.extensions")} AS extensions
+    FROM (SELECT report_id, unnest(l) AS r, generate_subscripts(l, 1) AS k FROM rs) WHERE json_type(r) = 'OBJECT')"""
+_ID = _string("x", "$.id")
+_RESULTS = f"""{_RUNS}, xs AS (SELECT * EXCLUDE (r), {_items("r", "$.results")} AS l FROM run),
+  raw AS (SELECT * FROM (SELECT * EXCLUDE (l), unnest(l) AS v, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS result_no FROM xs) WHERE json_type(v) = 'OBJECT'),
+  named AS (SELECT *, {_number("v", "$.ruleIndex")} AS result_index, {_number("v", "$.rule.index")} AS reference_index, {_number("v", "$.rule.toolComponent.index")} AS component_index, {_string("v", "$.rule.toolComponent.name")} AS component_name,
+    CASE WHEN json_type(v, '$.ruleId') = 'VARCHAR' THEN 'by_id' WHEN json_type(v, '$.rule.id') = 'VARCHAR' THEN 'by_reference_id'
+      WHEN json_type(v, '$.rule') = 'OBJECT' AND json_type(v, '$.rule.index') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CASE WHEN json_type(v, '$.rule.toolComponent') = 'OBJECT' THEN 'by_component_index' ELSE 'by_driver_index' END
+      WHEN json_type(v, '$.ruleIndex') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'by_rule_index' ELSE 'unnamed' END AS variant FROM raw),
+  placed AS (SELECT *, CASE WHEN variant = 'by_component_index' THEN coalesce(component_index, list_position(list_transform(extensions, lambda x: {_string("x", "$.name")}), component_name) - 1, -1) ELSE -1 END AS component FROM named),
+  chosen AS (SELECT *, CASE WHEN component = -1 THEN rules WHEN component >= 0 THEN {_items("extensions[component + 1]", "$.rules")} END AS listed, CASE variant WHEN 'by_rule_index' THEN result_index ELSE reference_index END AS pos FROM placed),
+  result AS (SELECT report_id, run_no, result_no, driver_name, variant, result_index, reference_index, component_index, component_name, {_string("v", "$.level")} AS level, {_string("v", "$.message.text")} AS message_text,
+    CASE variant WHEN 'by_id' THEN json_extract_string(v, '$.ruleId') WHEN 'by_reference_id' THEN json_extract_string(v, '$.rule.id') WHEN 'unnamed' THEN NULL ELSE CASE WHEN pos >= 0 THEN {_string("listed[pos + 1]", "$.id")} END END AS rule_id, {_items("v", "$.locations")} AS locations FROM chosen)"""
+_COMMON = "report_id, run_no, result_no, rule_id, driver_name, level, message_text"
+_OWN = {
+    "by_id": "result_index AS rule_index",
+    "by_rule_index": "result_index AS rule_index",
+    "by_reference_id": "component_index, component_name",
+    "by_driver_index": "reference_index AS rule_index",
+    "by_component_index": "reference_index AS rule_index, component_index, component_name",
+    "unnamed": "",
+}
+_RULES = f"""{_RUNS}, c AS (SELECT report_id, run_no, -1 AS component_no, rules AS l FROM run UNION ALL SELECT report_id, run_no, CAST(k - 1 AS INTEGER), {_items("e", "$.rules")} FROM (SELECT report_id, run_no, unnest(extensions) AS e, generate_subscripts(extensions, 1) AS k FROM run)),
+  rule AS (SELECT report_id, run_no, component_no, CAST(k - 1 AS INTEGER) AS rule_no, x FROM (SELECT *, unnest(l) AS x, generate_subscripts(l, 1) AS k FROM c) WHERE json_type(x) = 'OBJECT')"""
+ORACLE |= {
+    "p2_found": f"WITH {_RESULTS} SELECT report_id, run_no, result_no, rule_id, driver_name FROM result",
+    "p2_results": f"WITH {_RESULTS} SELECT {_COMMON}, variant FROM result",
+    **{f"p2_results_{name}": f"WITH {_RESULTS} SELECT {', '.join(filter(None, (_COMMON, own)))} FROM result WHERE variant = '{name}'" for name, own in _OWN.items()},
+    "p2_runs": f"""WITH {_RUNS} SELECT report_id, run_no, driver_name, {_string("r", "$.tool.driver.version")} AS driver_version, CASE WHEN json_type(r, '$.tool.driver') = 'OBJECT' AND json_extract(r, '$.tool.driver') <> '{{}}' THEN 'driver' ELSE 'no_driver' END || CASE WHEN len(extensions) > 0 THEN '_extensions' ELSE '' END AS variant FROM run""",
+    "p2_rules": f"""WITH {_RULES} SELECT report_id, run_no, component_no, rule_no, {_ID} AS rule_id, {_string("x", "$.name")} AS name, coalesce({_string("x", "$.shortDescription.text")}, {_string("x", "$.fullDescription.text")}) AS text, CASE WHEN component_no < 0 THEN 'driver' ELSE 'extension' END AS variant FROM rule""",
+    "p2_locations": f"""WITH {_RESULTS}, y AS (SELECT report_id, run_no, result_no, unnest(locations) AS l, CAST(generate_subscripts(locations, 1) - 1 AS INTEGER) AS location_no FROM result), z AS (SELECT *, {_items("l", "$.logicalLocations")} AS g FROM y WHERE json_type(l) = 'OBJECT')
+  SELECT report_id, run_no, result_no, location_no, {_string("l", "$.physicalLocation.artifactLocation.uri")} AS uri, {_number("l", "$.physicalLocation.region.startLine")} AS start_line, {_number("l", "$.physicalLocation.region.startColumn")} AS start_column, {_string("g[1]", "$.name")} AS logical_name,
+    CASE WHEN json_type(l, '$.physicalLocation') = 'OBJECT' AND len(g) > 0 THEN 'physical_logical' WHEN json_type(l, '$.physicalLocation') = 'OBJECT' THEN 'physical' WHEN len(g) > 0 THEN 'logical' ELSE 'bare' END AS variant FROM z""",
+    "p2_unreadable": f"WITH {_PAYLOADS} SELECT report_id, reason FROM told WHERE reason IS NOT NULL",
+}

@@ -88,3 +88,50 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "report_id long, received_at timestamp, payload string")
     for t in nested.TABLES:
         assert nested.flat_table(df, t).count() == 0
+
+
+@pytest.mark.parametrize("where", ["properties", "message", "locations"])
+def test_deep_reports_lose_nothing(spark, where):
+    deep = "[" * 60_000 + '{"a": 1}' + "]" * 60_000
+    payload = json.dumps(_report({"ruleId": "r", "x": 0})).replace('"x": 0', f'"{where}": {deep}')
+    assert [x[3] for x in _table(spark, [payload])] == ["r"]
+    assert _table(spark, [payload], "unreadable") == []
+    assert _table(spark, [payload[:-1]]) == [] and _table(spark, [payload[:-1]], "unreadable") == [(1, "malformed")]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["{}", " [ ] ", '{"a": [1, -2.5e3, true, false, null, "x\\u0041\\n"], "b": {"c": {}}, "a": [[]]}', "7", '"s"', "[[1], {}, [{}]]", "", "[", "]", "{", "}", "[1,]", "[,1]", "[1 2]", '{"a"}', '{"a":}', '{"a":1,}', '{a:1}', "[1]x", "01", "-", "[1}", '"\t"', "nul", "NaN", "[Infinity]", "1.", ".5", "+1", '{"a":1 "b":2}', '{"a" 1}', "[1,,2]", "\u00a0[]"],
+)
+def test_deep_reader_agrees_with_the_standard_one(text):
+    def of(read):
+        try:
+            return repr(read(text))
+        except ValueError:
+            return "refused"
+
+    assert of(nested.read_deep) == of(nested._DECODER.decode)
+
+
+def test_long_numbers(spark):
+    payload = json.dumps(_report({"ruleId": "r", "ruleIndex": 0})).replace('"ruleIndex": 0', '"ruleIndex": ' + "9" * 6000)
+    assert _table(spark, [payload], "results_by_id") == [(1, 0, 0, "r", "d", None, None, None)]
+
+
+def test_subtypes_and_supertype(spark):
+    r = _report({"ruleId": "Z", "ruleIndex": 3, "message": {"text": "m"}}, {"ruleIndex": 1}, {"rule": {"index": 1, "toolComponent": {"index": 0, "name": "x"}}}, {"level": "note"}, 5)
+    assert _table(spark, [r], "results_by_id") == [(1, 0, 0, "Z", "d", None, "m", 3)]
+    assert _table(spark, [r], "results_by_rule_index") == [(1, 0, 1, "B", "d", None, None, 1)]
+    assert _table(spark, [r], "results_by_component_index") == [(1, 0, 2, "X1", "d", None, None, 1, 0, "x")]
+    assert _table(spark, [r], "results_unnamed") == [(1, 0, 3, None, "d", "note", None)]
+    assert [x[2:4] + x[-1:] for x in _table(spark, [r])] == [(0, "Z", "by_id"), (1, "B", "by_rule_index"), (2, "X1", "by_component_index"), (3, None, "unnamed")]
+
+
+def test_unreadable_and_shapes(spark):
+    payloads = [None, " ", "\ufeff", "[]", "{", _report({"ruleId": "a"}, {"ruleId": "b", "message": {"text": "t"}}), _report({"ruleId": "c"})]
+    assert _table(spark, payloads, "unreadable") == [(1, "missing"), (2, "blank"), (3, "blank"), (4, "no_object"), (5, "malformed")]
+    df = spark.createDataFrame([(k, json.dumps(p), datetime(2026, 1, 1)) for k, p in enumerate(payloads[5:])], "report_id long, payload string, received_at timestamp")
+    got = {tuple(r) for r in nested.shape_catalogue(nested.flat_table(df, "shapes")).collect()}
+    assert got == {("by_id", "{ruleId:string}", 2, 2), ("by_id", "{message:{text:string},ruleId:string}", 1, 1)}
+    tables = nested.flat_tables(df)
+    assert tables["results"].count() == 3 and tables["results_by_id"].count() == 3 and tables["runs"].count() == 2
