@@ -12,6 +12,7 @@ from __future__ import annotations
 import itertools
 import math
 import unicodedata
+import warnings
 from collections import Counter
 from dataclasses import dataclass
 
@@ -23,7 +24,8 @@ from tallyweave.session import BROADCAST_ROWS, checkpointed
 
 #: Days by which the later source may run ahead of the earlier one, and lag behind it.
 AHEAD, LAG = 3, 14
-#: Most rounds of expectation-maximisation, and the change of share and means below which the fit has settled.
+#: Most rounds of expectation-maximisation, and the change of share and means below which the fit has settled. A fit that has not
+#: settled by then is used as it is, with a warning.
 ROUNDS, SETTLED = 12, 0.002
 #: Added to every variance, in squared units of the similarities.
 RIDGE = 0.02
@@ -34,7 +36,7 @@ FEE, CENTS = 0.035, 10
 #: A word of the memos is a set phrase, no name, if at least this share of rows has it and parties rarely do.
 COMMON = 0.0005
 FEATURES = ("amount", "name", "gap", "gap_ref", "ref", "unit", "link", "kind")
-#: Sums of a collective entry's parts that are followed at once; beyond, the days between the entries are narrowed first.
+#: Sums of a collective entry's parts that a narrow window of days follows; a window with more is left for the widest, which has no bound.
 SUMS = 200_000
 
 
@@ -241,7 +243,9 @@ def collective(a: DataFrame, b: DataFrame, linked: DataFrame) -> DataFrame:
     """
     many = a.filter("parts is not null").select("id", "day", "amount", "place", F.posexplode("parts").alias("part", "piece"))
     many = many.withColumn("k", F.substring("piece", 1, 3))
-    names = b.select("id", "day", "amount", "place", F.col("n").alias("members"), F.explode("names").alias("w")).filter(F.length("w") >= 2).withColumn("k", F.substring("w", 1, 3))
+    # Fragments of two letters meet names by two, longer ones by three.
+    heads = F.array_distinct(F.array(F.substring("w", 1, 2), F.substring("w", 1, 3)))
+    names = b.select("id", "day", "amount", "place", F.col("n").alias("members"), F.explode("names").alias("w")).filter(F.length("w") >= 2).withColumn("k", F.explode(heads))
     seen = names.join(linked, names.place == linked.place_b).drop("place", "place_b").withColumnRenamed("place_a", "place")
     begins = F.col("b.w").startswith(F.col("a.piece")) | (F.levenshtein(F.substring(F.col("b.w"), F.lit(1), F.length("a.piece")), F.col("a.piece")) <= 1)
 
@@ -259,30 +263,44 @@ def collective(a: DataFrame, b: DataFrame, linked: DataFrame) -> DataFrame:
     whole = found.groupBy("id").agg(F.count_distinct("part").alias("have")).join(sizes, "id").filter("have = n").select("id", "n")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        total, n = int(pdf["total"].iloc[0]), int(pdf["n"].iloc[0])
-        best: tuple | None = None
-        for days in (1, 3, 7, LAG):
-            sums: dict[int, tuple] = {0: (0, ())}
-            near = pdf[(pdf["gap"].abs() <= days)]
-            for part in range(n):
-                some = near[near["part"] == part]
-                grown: dict[int, tuple] = {}
-                for s, (cost, ids) in sums.items():
-                    for i, v, g, m in zip(some["id_b"], some["amount"], some["gap"], some["members"]):
-                        if ids.count(i) < m and abs(s + v) <= abs(total):
-                            option = (cost + abs(int(g) - 1), (*ids, int(i)))
-                            if s + v not in grown or option < grown[s + v]:
-                                grown[s + v] = option
-                    if len(grown) > SUMS and days < LAG:
-                        break
-                sums = grown
-            if total in sums:
-                best = sums[total]
-                break
-        uses = Counter(best[1] if best else ())
+        rows = list(zip(*(pdf[c].tolist() for c in ("part", "id_b", "amount", "gap", "members"))))
+        uses = Counter(add_up(int(pdf["total"].iloc[0]), int(pdf["n"].iloc[0]), rows))
         return pd.DataFrame({"id_a": [int(pdf["id"].iloc[0])] * len(uses), "id_b": list(uses), "uses": list(uses.values())}, dtype="int64")
 
-    return found.join(whole, "id").groupBy("id").applyInPandas(solve, "id_a long, id_b long, uses long")
+    # Sums take far more time than their few bytes tell, so they are spread over as many tasks as shuffles have, not coalesced.
+    tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.join(whole, "id").repartition(tasks, "id").groupBy("id").applyInPandas(solve, "id_a long, id_b long, uses long")
+
+
+def add_up(total: int, n: int, rows: list[tuple[int, int, int, int, int]]) -> tuple[int, ...]:
+    """One candidate for each of `n` fragments so that the amounts add up to `total`, of several choices that with the fewest days
+    (then the least ids); none if there is no choice. `rows` are (fragment, id, amount, days between, members).
+
+    Narrow windows of days are tried first. A window in which more than SUMS sums would have to be followed is left for
+    the widest, which follows them all. Candidates that several fragments could use are told apart in what is followed, as
+    a sum may be reachable only by a choice that leaves their members free.
+    """
+    wanted = Counter(i for _, i in {(part, i) for part, i, *_ in rows})
+    for days in (1, 3, 7, LAG):
+        sums: dict[tuple, tuple] = {(0, ()): (0, ())}
+        for part in range(n):
+            some = [(i, v, abs(g - 1), m) for k, i, v, g, m in rows if k == part and abs(g) <= days]
+            grown: dict[tuple, tuple] = {}
+            for (s, shared), (cost, ids) in sums.items():
+                for i, v, far, m in some:
+                    if abs(s + v) <= abs(total) and ids.count(i) < m:
+                        state = (s + v, tuple(sorted((*shared, i))) if wanted[i] > 1 else shared)
+                        option = (cost + far, (*ids, i))
+                        if state not in grown or option < grown[state]:
+                            grown[state] = option
+                if len(grown) > SUMS and days < LAG:
+                    grown = {}
+                    break
+            sums = grown
+        whole = [option for (s, _), option in sums.items() if s == total]
+        if whole:
+            return min(whole)[1]
+    return ()
 
 
 def vectors(pairs: DataFrame, a: DataFrame, b: DataFrame, linked: DataFrame) -> DataFrame:
@@ -413,6 +431,8 @@ def fit(x: DataFrame, rounds: int = ROUNDS) -> Mixture:
         before, mixture = mixture, Mixture(min(max(r.p / r.n, 1e-4), 1 - 1e-4), moments("p"), moments("q"))
         if before is not None and before.distance(mixture) < SETTLED:
             break
+    else:
+        warnings.warn(f"the mixture has not settled in {rounds} rounds", stacklevel=2)
     return mixture
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 from datetime import date, datetime, timedelta
 
@@ -163,3 +164,34 @@ def test_chains_are_followed_to_the_end(spark):
 
 def test_the_fit_settles_finely():
     assert em.SETTLED <= 0.002
+
+
+@pytest.mark.parametrize("names", [("AB", "CD"), ("ABC", "CD"), ("ABC", "CDE")])
+def test_short_fragments_meet_longer_names(spark, names):
+    day, t = date(2025, 3, 3), datetime(2025, 6, 1)
+    book = [(10 + k, "L1", day, 1000 * (k + 1), "Rent", "deposit", f"{n}XORVAL TAMSEN", t) for k, n in enumerate(names)]
+    # Other entries that link the account with the ledger.
+    link = [(100 + k, "L1", day, 7000 + k, f"Check #{50_000 + k}", "check", "Orlan Brigstead", t) for k in range(6)]
+    bank = [(1, "A1", day, 3000, "BATCH DEP 2 ITEMS " + "/".join(names), "deposit", None, t)]
+    bank += [(200 + k, "A1", day, 7000 + k, f"CHK#{50_000 + k}", "check", None, t) for k in range(6)]
+    got = em.match(spark.createDataFrame(bank, BANK), spark.createDataFrame(book + link, BOOK))
+    assert {(r.id_a, r.id_b) for r in got.collect() if r.id_a == 1} == {(1, 10), (1, 11)}
+
+
+def test_sums_leave_members_free_and_follow_cut_windows(monkeypatch):
+    # The nearer choice for 5 takes entry 1, which the second fragment alone can use for 7.
+    rows = [(0, 1, 5, 0, 1), (0, 2, 5, 2, 1), (1, 1, 7, 0, 1)]
+    assert em.add_up(12, 2, rows) == (2, 1)
+    assert em.add_up(12, 2, rows[:1] + rows[2:]) == () and em.add_up(10, 2, [(0, 1, 5, 1, 2), (1, 1, 5, 1, 2)]) == (1, 1)
+    rng = random.Random(5)
+    for _ in range(40):
+        rows = sorted({(p, i): (p, i, rng.randint(1, 9), rng.randint(-3, 14), rng.randint(1, 2)) for p in range(3) for i in rng.sample(range(6), 4)}.values())
+        rows = [(p, i, *next((v, g, m) for q, j, v, g, m in rows if j == i)) for p, i, *_ in rows]
+        total = rng.randint(5, 20)
+        every = [(sum(abs(r[3] - 1) for r in c), tuple(r[1] for r in c)) for c in itertools.product(*([r for r in rows if r[0] == p] for p in range(3))) if sum(r[2] for r in c) == total and all([x[1] for x in c].count(r[1]) <= r[4] for r in c)]
+        near = next((w for w in (1, 3, 7, 14) if any(all(abs(dict((r[1], r[3]) for r in rows)[i]) <= w for i in ids) for _, ids in every)), None)
+        best = min(((cost, ids) for cost, ids in every if all(abs(dict((r[1], r[3]) for r in rows)[i]) <= near for i in ids)), default=(0, ()))[1]
+        assert em.add_up(total, 3, rows) == best
+        monkeypatch.setattr(em, "SUMS", 0)
+        assert em.add_up(total, 3, rows) == min(every, default=(0, ()))[1]
+        monkeypatch.undo()
