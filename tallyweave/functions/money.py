@@ -35,6 +35,6 @@ def format_cents(cents: Column) -> Column:
 
 
 def debit_credit(debit: Column, credit: Column) -> Column:
-    """Signed cents of a debit (out) and credit (in) pair of texts; null unless exactly one is filled and valid."""
+    """Signed cents of a debit (out) and credit (in) pair of texts, whose own signs don't count; null unless exactly one is filled and valid."""
     filled = lambda c: F.coalesce(F.btrim(c) != "", F.lit(False))
-    return F.when(filled(debit) & ~filled(credit), -parse_cents(debit)).when(filled(credit) & ~filled(debit), parse_cents(credit))
+    return F.when(filled(debit) & ~filled(credit), -F.abs(parse_cents(debit))).when(filled(credit) & ~filled(debit), F.abs(parse_cents(credit)))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions import dates, decimals, hashing, money, text
 from tallyweave.operators import findings as found
 from tallyweave.operators import ledger, logs, manifest, markup, merkle, registry
-from tallyweave.session import shared_folder, table
+from tallyweave.session import shared_folder, spread, table
 from tallyweave.sinks import reports
 from tallyweave.sources import delimited, files
 from tallyweave.streaming import journal
@@ -226,6 +226,18 @@ def ofx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _diagnosed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingest rows as cells of their files, dates and amounts as text."""
+    x = table(spark, sf_dir, "ingest").select("file_id", "ingest_id", "date", "amount", "memo", "kind").distinct()
+    shown = F.concat(F.when(F.col("amount") < 0, "-").otherwise(""), F.floor(F.abs("amount") / 100).cast("string"), F.lit("."), F.lpad((F.abs("amount") % 100).cast("string"), 2, "0"))
+    cells = x.select("file_id", "ingest_id", F.col("date").alias("Posting Date"), shown.alias("Amt"), F.col("memo").alias("Description"), F.col("kind").alias("Transaction Type"))
+    return delimited.normalized(cells, "bank", keep=("file_id", "ingest_id"))
+
+
+_CELLS = """c AS (SELECT DISTINCT file_id, ingest_id, date AS written, trim(date) AS s, amount, memo, kind FROM ingest),
+  e AS (SELECT *, CASE WHEN day IS NULL THEN 'date' WHEN amount IS NULL THEN 'amount' END AS error FROM (SELECT *, CAST({day} AS DATE) AS day FROM c))"""
+
+
 # --- Scalars --------------------------------------------------------------------------------------------------------
 
 
@@ -248,6 +260,22 @@ def day_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("id", "day").agg(F.count("*").alias("rows"))
 
 
+_CELLS = _CELLS.format(day=_DAY)
+
+
+@query(f"""WITH {_CELLS}, n AS (SELECT *, row_number() OVER (PARTITION BY file_id, error IS NULL ORDER BY ingest_id) AS nth FROM e)
+  SELECT file_id, ingest_id, error IS NULL AS ok, CASE error WHEN 'date' THEN 'no readable date' WHEN 'amount' THEN 'no readable amount, or not exactly one of a pair' END AS message, CAST(day AS VARCHAR) AS day, amount FROM n WHERE error IS NOT NULL OR nth <= 3""")
+def diagnosis_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every failed row of each file with its message, and the file's first three good ones."""
+    x = delimited.diagnosis_sample(_diagnosed(spark, sf_dir), "file_id", "ingest_id", 3)
+    return x.select("file_id", "ingest_id", "ok", "message", F.col("date").cast("string").alias("day"), "amount")
+
+
+@query(f"WITH {_CELLS} SELECT file_id, count(*) AS rows, count(*) FILTER (error IS NULL) AS good, count(*) FILTER (error = 'date') AS bad_date, count(*) FILTER (error = 'amount') AS bad_amount, CAST(0 AS BIGINT) AS bad_party FROM e GROUP BY 1")
+def diagnosis_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delimited.diagnosis_by_file(_diagnosed(spark, sf_dir), "file_id")
+
+
 _KIND = " ".join(f"WHEN regexp_matches(m, '{p}') THEN '{k}'" for k, p in text.KIND_PATTERNS)
 
 
@@ -732,8 +760,9 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     shown = lambda c: F.concat(F.floor(c / 100).cast("string"), F.lit("."), F.lpad((c % 100).cast("string"), 2, "0"))
     line = F.concat(F.lit("<cac:InvoiceLine>"), esc("ID", F.col("l_linenumber")), esc("InvoicedQuantity", F.col("l_quantity").cast("int")), esc("LineExtensionAmount", shown(cents)), F.lit("</cac:InvoiceLine>"))
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("x")))), lambda s: s["x"]), "").alias("lines"), F.sum(cents).alias("net"))
-    o = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    # Spread by the join's key beforehand: parsing takes far more time than the documents' bytes tell.
+    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("x")))), lambda s: s["x"]), "").alias("lines"), F.sum(cents).alias("net"))
+    o = spread(table(spark, sf_dir, "orders"), "o_orderkey").join(lines.hint("shuffle_hash"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     head = F.concat(F.lit('<?xml version="1.0"?><Invoice xmlns="urn:i" xmlns:cac="urn:a" xmlns:cbc="urn:b">'), esc("ID", F.col("o_orderkey")), esc("IssueDate", F.date_format("o_orderdate", "yyyy-MM-dd")))
     total = F.concat(F.lit("<cac:LegalMonetaryTotal>"), esc("LineExtensionAmount", shown(F.coalesce("net", F.lit(0)))), F.lit("</cac:LegalMonetaryTotal>"))
     return o.select("o_orderkey", F.concat(head, total, F.coalesce("lines", F.lit("")), F.lit("</Invoice>")).alias("content"))

@@ -43,6 +43,31 @@ def test_rent_roll_and_map(spark, rows, tmp_path):
     assert delimited.resolve(["AMT", " date ", "Posting Date", "Amount"], "bank") == {"date": " date ", "amount": "Amount"}
 
 
+def test_headers_of_real_exports():
+    r = delimited.resolve
+    assert r(["Posted", "Withdrawal Amount", "Credit Amt", "Payee", "Name"], "bank") == {"date": "Posted", "debit": "Withdrawal Amount", "credit": "Credit Amt", "memo": "Name"}
+    assert r(["Trans Date", "Num", "Account", "Payment", "Increase"], "book") == {"date": "Trans Date", "party": "Account", "memo": "Num", "debit": "Payment", "credit": "Increase"}
+    assert r(["Date", "Lease", "Party", "Door", "Received", "Owed"], "rentroll") == {"date": "Date", "tenant": "Party", "unit": "Door", "payment": "Received", "charge": "Owed"}
+    assert r(["Date", "Posting Date", "Amount"], "bank")["date"] == "Date"
+
+
+def test_signed_amount_alone_counts_and_pairs_have_no_sign(spark, rows):
+    cells = spark.createDataFrame([("1/2/2026", "", "5", "x"), ("1/2/2026", "-3", "5", "x")], "Date string, Amount string, Credit string, Memo string")
+    assert rows(delimited.normalized(cells, "book"), "amount", "error") == [(-300, None), (None, "amount")]
+    pair = spark.createDataFrame([("1/2/2026", "-5", ""), ("1/2/2026", "", "-7")], "Date string, Debit string, Credit string")
+    assert rows(delimited.normalized(pair, "bank"), "amount") == [(-500,), (700,)]
+    rent = spark.createDataFrame([("1/2/2026", "A", "", "5", "", ""), ("1/2/2026", "A", "5", "", "", ""), ("1/2/2026", "A", "5", "", "late fee", ""), ("1/2/2026", "A", "5", "", "", "chk")], "Date string, Tenant string, Charge string, Payment string, Memo string, Type string")
+    assert rows(delimited.normalized(rent, "rentroll"), "amount", "kind") == [(-500, "adjustment"), (-500, "check"), (-500, "fee"), (500, "deposit")]
+
+
+def test_diagnosis_lists_failures_and_a_sample(spark, rows):
+    cells = spark.createDataFrame([("f", k, "1/2/2026" if k % 3 else "never", str(k), "m") for k in range(9)] + [("g", 1, None, None, None)], "file string, row int, Date string, Amount string, Memo string")
+    t = delimited.normalized(cells, "bank", keep=("file", "row"))
+    got = rows(delimited.diagnosis_sample(t, "file", "row", 2), "file", "row", "ok", "message")
+    assert got == [("f", 0, False, "no readable date"), ("f", 1, True, None), ("f", 2, True, None), ("f", 3, False, "no readable date"), ("f", 6, False, "no readable date"), ("g", 1, False, "no readable date")]
+    assert rows(delimited.diagnosis_by_file(t, "file")) == [("f", 9, 6, 3, 0, 0), ("g", 1, 0, 1, 0, 0)]
+
+
 def test_ofx(spark, rows, tmp_path):
     text = "OFXHEADER:100\n<OFX><BANKTRANLIST><STMTTRN><TRNTYPE>DEBIT<DTPOSTED>20260501120000[-5:EST]<TRNAMT>-5.25<NAME>Shop<MEMO>card</STMTTRN>\n<STMTTRN>\n<DTPOSTED>2026\n<TRNAMT>1\n<NAME>x\n</BANKTRANLIST>"
     p = _csv(tmp_path, "a.ofx", text)
