@@ -325,17 +325,19 @@ ROUTES: dict[str, Callable[[dict, Run], tuple]] = {
 }
 
 
-def flatten(report: dict, automaton: Automaton) -> dict[str, list[tuple]]:
-    """Rows of the parsed tables; positions count from 0, items that are no objects keep their position and give no row."""
+def flatten(report: dict, automaton: Automaton, tables: tuple[str, ...] = PARSED) -> dict[str, list[tuple]]:
+    """Rows of the parsed tables, of `tables` at least; positions count from 0, items that are no objects keep their position and
+    give no row."""
     out: dict[str, list[tuple]] = {name: [] for name in PARSED}
     shapes: dict[tuple[str, int], int] = {}
+    rules_too, locations_too, shapes_too = (t in tables for t in ("rules", "locations", "shapes"))
     for run_no, raw in enumerate(_as_list(report.get("runs"))):
         if not isinstance(raw, dict):
             continue
         run = Run(raw)
         kind = ("driver" if run.driver else "no_driver") + ("_extensions" if run.extensions else "")
         out["runs"].append((run_no, run.driver_name, _text(run.driver.get("version")), kind))
-        for number, rules in enumerate(run.components):
+        for number, rules in enumerate(run.components if rules_too else ()):
             for rule_no, rule in enumerate(rules):
                 if isinstance(rule, dict):
                     said = rule.get("shortDescription") or rule.get("fullDescription")
@@ -349,7 +351,7 @@ def flatten(report: dict, automaton: Automaton) -> dict[str, list[tuple]]:
             rule_id, *own = ROUTES[variant](result, run)
             message = _as_object(result.get("message"))
             out[f"results_{variant}"].append((run_no, result_no, rule_id, run.driver_name, _text(result.get("level")), _text(message.get("text")), *own))
-            for location_no, location in enumerate(_as_list(result.get("locations"))):
+            for location_no, location in enumerate(_as_list(result.get("locations")) if locations_too else ()):
                 if isinstance(location, dict):
                     physical = _as_object(location.get("physicalLocation"))
                     region, logical = _as_object(physical.get("region")), _as_list(location.get("logicalLocations"))
@@ -357,7 +359,8 @@ def flatten(report: dict, automaton: Automaton) -> dict[str, list[tuple]]:
                     out["locations"].append(
                         (run_no, result_no, location_no, _text(_as_object(physical.get("artifactLocation")).get("uri")), _number(region.get("startLine")), _number(region.get("startColumn")), _text(_at(logical, 0).get("name")), shape.strip("_") or "bare")
                     )
-    out["shapes"] = [(variant, automaton.shape(state), n) for (variant, state), n in shapes.items()]
+    if shapes_too:
+        out["shapes"] = [(variant, automaton.shape(state), n) for (variant, state), n in shapes.items()]
     return out
 
 
@@ -387,7 +390,7 @@ def parse_reports(reports: DataFrame, names: tuple[str, ...] = PARSED) -> DataFr
             columns: dict[str, list] = {t: [] for t in tables}
             for payload in batch.column("payload").to_pylist():
                 report, reason = read_payload(payload)
-                rows = flatten(report, automaton) if report is not None else {"unreadable": [(reason,)]}
+                rows = flatten(report, automaton, tables) if report is not None else {"unreadable": [(reason,)]}
                 for t in tables:
                     columns[t].append([dict(zip(columns_of[t], r)) for r in rows.get(t, [])])
             arrays = [batch.column(c).cast(types.field(c).type) for c in ("report_id", "received_at", "tie")]
