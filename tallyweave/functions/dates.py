@@ -30,7 +30,13 @@ def parse_date(text: Column) -> Column:
     found = F.when(s.rlike(FORMS[0][0]), F.regexp_replace(s, *FORMS[0]))
     for form in FORMS[1:]:
         found = found.when(s.rlike(form[0]), F.regexp_replace(s, *form))
-    part = lambda k: F.get(F.split(found, r"\|"), F.lit(k))
+    # The parts are found once and read as a step of its own: inlined where they are used, they would make code too long to compile.
+    return F.get(F.transform(F.array(F.split(found, r"\|")), _day_of), F.lit(0))
+
+
+def _day_of(parts: Column) -> Column:
+    """The day of ('', year, month, day); null for null."""
+    part = lambda k: F.get(parts, F.lit(k))
     year = part(1).try_cast("int")
     named = ((F.position(F.substring(part(2), 1, 3), F.lit("".join(MONTHS))) + 2) / 3).cast("int")
     month = F.when(part(2).rlike("^[a-z]"), named).otherwise(part(2).try_cast("int"))

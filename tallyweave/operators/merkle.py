@@ -2,16 +2,18 @@
 
 The sorted tree is folded level by level as a DataFrame: each level numbers its nodes by position, pairs `pos / 2` and
 hashes the pairs of an Arrow batch at once. Positions come from counts per range partition, so no level passes through
-one task. The ordered tree of a group of rows (a journal, a session) is folded inside an aggregate over that group.
+one task. The ordered trees of groups of rows (journals, sessions) are folded together, by group and place. The hash is
+Keccak-256 unless `sha256` is named.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType
 
@@ -30,16 +32,31 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
         total += n
     if not before:
         return parts.withColumn("pos", F.lit(0).cast("bigint")).drop("_part", "_nth")
-    shift = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))
-    return parts.withColumn("pos", (F.col("_nth") + shift[F.col("_part")]).cast("bigint")).drop("_part", "_nth")
+    # A small table of offsets, not literals: with many partitions these would make a plan of that size.
+    shift = df.sparkSession.createDataFrame(list(before.items()), "_part int, _before bigint")
+    return parts.join(F.broadcast(shift), "_part").withColumn("pos", F.col("_nth") + F.col("_before")).drop("_part", "_nth", "_before")
 
 
-@F.pandas_udf(BinaryType())
-def _pair(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(keccak_many([NODE_TAG + min(bytes(x), bytes(y)) + max(bytes(x), bytes(y)) for x, y in zip(a, b)]))
+def _sha256_many(messages: list[bytes]) -> list[bytes]:
+    return [hashlib.sha256(m).digest() for m in messages]
+
+
+#: Hashes by name: many messages at once.
+HASHES: dict[str, Callable[[list[bytes]], list[bytes]]] = {"keccak": keccak_many, "sha256": _sha256_many}
+
+
+def _leaf(digest: Column, hash_name: str) -> Column:
+    tagged = F.concat(F.lit(bytearray(LEAF_TAG)), digest)
+    return F.unhex(F.sha2(tagged, 256)) if hash_name == "sha256" else keccak256(tagged)
+
+
+def _node(a: Column, b: Column, hash_name: str) -> Column:
+    """Inner node of a pair in the order given."""
+    tagged = F.concat(F.lit(bytearray(NODE_TAG)), a, b)
+    return F.unhex(F.sha2(tagged, 256)) if hash_name == "sha256" else keccak256(tagged)
 
 
-def sorted_levels(leaves: DataFrame) -> list[DataFrame]:
+def sorted_levels(leaves: DataFrame, hash_name: str = "keccak") -> list[DataFrame]:
     """Levels (pos, node), bottom first, of the tree over the binary column `digest` in ascending order.
 
     Leaves and inner nodes are tagged, pairs are hashed smaller first, and the last node of an odd level is paired with
@@ -49,29 +66,29 @@ def sorted_levels(leaves: DataFrame) -> list[DataFrame]:
     if not n:
         return []
     bottom = numbered(leaves.select("digest"), "digest")
-    level = checkpointed(bottom.select("pos", keccak256(F.concat(F.lit(bytearray(LEAF_TAG)), F.col("digest"))).alias("node")))
+    level = checkpointed(bottom.select("pos", _leaf(F.col("digest"), hash_name).alias("node")))
     out = [level]
     while n > 1:
         pairs = level.groupBy(F.floor(F.col("pos") / 2).cast("bigint").alias("pos")).agg(F.min_by("node", "pos").alias("a"), F.max_by("node", "pos").alias("b"))
-        level = checkpointed(pairs.select("pos", _pair("a", "b").alias("node")))
+        level = checkpointed(pairs.select("pos", _node(F.least("a", "b"), F.greatest("a", "b"), hash_name).alias("node")))
         out.append(level)
         n = (n + 1) // 2
     return out
 
 
-def sorted_root(leaves: DataFrame) -> DataFrame:
+def sorted_root(leaves: DataFrame, hash_name: str = "keccak") -> DataFrame:
     """One row (root, as lower-case hex) of the sorted tree; none for no leaves."""
-    levels = sorted_levels(leaves)
+    levels = sorted_levels(leaves, hash_name)
     empty = leaves.sparkSession.createDataFrame([], "root string")
     return levels[-1].select(F.lower(F.hex("node")).alias("root")) if levels else empty
 
 
-def sorted_proofs(leaves: DataFrame) -> DataFrame:
+def sorted_proofs(leaves: DataFrame, hash_name: str = "keccak") -> DataFrame:
     """(digest, pos, proof): for every leaf the siblings from bottom to top, as an array of binaries.
 
     Each level is one equi-join on the sibling's position; a lone last node is its own sibling.
     """
-    levels = sorted_levels(leaves)
+    levels = sorted_levels(leaves, hash_name)
     if not levels:
         return leaves.sparkSession.createDataFrame([], "digest binary, pos bigint, proof array<binary>")
     x = numbered(leaves.select("digest"), "digest").withColumn("at", F.col("pos")).withColumn("proof", F.array().cast("array<binary>"))
@@ -82,19 +99,34 @@ def sorted_proofs(leaves: DataFrame) -> DataFrame:
     return x.select("digest", "pos", "proof")
 
 
-@F.pandas_udf(BinaryType())
-def fold_proof(digest: pd.Series, proof: pd.Series) -> pd.Series:
-    """Root that a leaf digest and its proof lead to, all rows of a batch level by level."""
-    nodes = keccak_many([LEAF_TAG + bytes(d) for d in digest])
+def _fold(digest: pd.Series, proof: pd.Series, hash_name: str) -> pd.Series:
+    many = HASHES[hash_name]
+    nodes = many([LEAF_TAG + bytes(d) for d in digest])
     depth = max((len(p) for p in proof), default=0)
     for k in range(depth):
         rows = [i for i, p in enumerate(proof) if len(p) > k]
-        new = keccak_many([NODE_TAG + min(nodes[i], bytes(proof.iloc[i][k])) + max(nodes[i], bytes(proof.iloc[i][k])) for i in rows])
+        new = many([NODE_TAG + min(nodes[i], bytes(proof.iloc[i][k])) + max(nodes[i], bytes(proof.iloc[i][k])) for i in rows])
         for i, node in zip(rows, new):
             nodes[i] = node
     return pd.Series(nodes)
 
 
+def proof_folder(hash_name: str = "keccak") -> Callable:
+    """The column function (digest, proof) → root by a hash."""
+
+    @F.pandas_udf(BinaryType())
+    def fold(digest: pd.Series, proof: pd.Series) -> pd.Series:
+        return _fold(digest, proof, hash_name)
+
+    return fold
+
+
+@F.pandas_udf(BinaryType())
+def fold_proof(digest: pd.Series, proof: pd.Series) -> pd.Series:
+    """Root that a leaf digest and its proof lead to, all rows of a batch level by level."""
+    return _fold(digest, proof, "keccak")
+
+
 # The ordered log tree (RFC 6962): left and right are kept, a tree of n leaves splits at the largest power of two below n.
 
 EMPTY_ROOT = keccak_many([b"journal-log/v1:empty-root"])[0]
@@ -198,19 +230,42 @@ def consistency_holds(first: int, second: int, path: list[bytes], first_root: by
     return not last and old == first_root and new == second_root
 
 
-def log_heads(rows: DataFrame, group: str, seq: str, leaf: str) -> DataFrame:
-    """(group, size, root as hex): the ordered tree's head of each group, leaves in order of `seq`.
+#: Levels of ordered trees that are folded at once: groups of 2^FOLD neighbours become one node.
+FOLD = 8
 
-    A group passes through one task: it is one journal or session, whose entries can only be chained in order.
-    """
-    kind = rows.schema[group].dataType.simpleString()
 
-    def head(key: tuple, table: pa.Table) -> pa.Table:
-        leaves = table.sort_by([("seq", "ascending")]).column("leaf").to_pylist()
-        return pa.table({"g": [key[0].as_py()], "size": [len(leaves)], "root": [log_root(leaves).hex()]})
+def fold_ordered(groups: list[list[bytes]], hash_name: str = "keccak") -> list[bytes]:
+    """Roots of the ordered trees over nodes, all groups level by level. A lone last node rises as it is."""
+    many = HASHES[hash_name]
+    while any(len(g) > 1 for g in groups):
+        made = iter(many([NODE_TAG + g[k] + g[k + 1] for g in groups for k in range(0, len(g) - 1, 2)]))
+        groups = [[next(made) if k + 1 < len(g) else g[k] for k in range(0, len(g), 2)] for g in groups]
+    return [g[0] for g in groups]
 
-    slim = rows.select(F.col(group).alias("g"), F.col(seq).alias("seq"), F.col(leaf).alias("leaf"))
-    return slim.groupBy("g").applyInArrow(head, f"g {kind}, size bigint, root string").withColumnRenamed("g", group)
+
+def log_heads(rows: DataFrame, group: str, seq: str, leaf: str, hash_name: str = "keccak") -> DataFrame:
+    """(group, size, root as hex): the ordered tree's head of each group, leaves in order of `seq` (ties: of the leaf).
+
+    A tree that splits at the largest power of two is the tree that pairs neighbours level by level and lets a lone last
+    node rise. So all logs are folded together, FOLD levels a round, keyed by log and place: no log passes through one task,
+    and a log with a third of all rows is spread like the others. Null leaves count as empty.
+    """
+    slim = rows.select(F.col(group).alias("g"), F.col(seq).alias("seq"), F.coalesce(leaf, F.lit(bytearray(b""))).alias("leaf"))
+    placed = numbered(slim, "g", "seq", "leaf")
+    sizes = placed.groupBy(F.col("g").alias("_g")).agg(F.count("*").alias("size"), F.min("pos").alias("first"))
+    level = placed.join(sizes, F.col("g").eqNullSafe(F.col("_g"))).select("g", "size", (F.col("pos") - F.col("first")).alias("pos"), _leaf(F.col("leaf"), hash_name).alias("node"))
+
+    @F.pandas_udf(BinaryType())
+    def fold(nodes: pd.Series) -> pd.Series:
+        return pd.Series(fold_ordered([[bytes(x) for x in g] for g in nodes], hash_name), index=nodes.index, dtype=object)
+
+    longest = sizes.agg(F.max("size")).first()[0] or 0
+    while True:
+        near = level.groupBy("g", "size", F.shiftright("pos", FOLD).alias("up")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda s: s["node"]).alias("nodes"))
+        level = checkpointed(near.select("g", "size", F.col("up").alias("pos"), fold("nodes").alias("node")))
+        longest = -(-longest // (1 << FOLD))
+        if longest <= 1:
+            return level.select(F.col("g").alias(group), F.col("size").cast("bigint").alias("size"), F.lower(F.hex("node")).alias("root"))
 
 
 def log_prefixes(rows: DataFrame, group: str, seq: str, leaf: str, first: Callable[[int], int]) -> DataFrame:

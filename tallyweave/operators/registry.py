@@ -152,3 +152,15 @@ def reveals(commits: DataFrame, openings: DataFrame, delay: int) -> DataFrame:
     key = F.sha2(F.concat_ws("|", "content_hash", F.lower("committer"), "salt"), 256)
     c = commits.groupBy("commitment").agg(F.min("block_number").alias("commit_block"))
     return openings.withColumn("commitment", key).join(c, "commitment").filter(F.col("block_number") >= F.col("commit_block") + delay)
+
+
+def json_rows(records: DataFrame) -> DataFrame:
+    """(index, document): each record as a JSON object in the registry's member names; a root has no parent member."""
+    return records.select("index", F.to_json(F.struct(
+        F.lower("content_hash").alias("contentHash"), F.lower("contributor").alias("contributor"), F.col("author_bound").alias("authorBound"), "timestamp", F.col("block_number").alias("blockNumber"), F.lower("parent").alias("parent"), "index",
+    )).alias("document"))
+
+
+def at_position(records: DataFrame, position: int) -> DataFrame:
+    """The record at a position; none beyond the end, which is no error."""
+    return records.filter(F.col("index") == position)

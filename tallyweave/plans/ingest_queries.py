@@ -157,3 +157,40 @@ ORACLE |= {
     CASE WHEN json_type(l, '$.physicalLocation') = 'OBJECT' AND len(g) > 0 THEN 'physical_logical' WHEN json_type(l, '$.physicalLocation') = 'OBJECT' THEN 'physical' WHEN len(g) > 0 THEN 'logical' ELSE 'bare' END AS variant FROM z""",
     "p2_unreadable": f"WITH {_PAYLOADS} SELECT report_id, reason FROM told WHERE reason IS NOT NULL",
 }
+
+# SQL of the failed records: fields by the strict grammar, then dates and amounts by theirs. White space is what the reader trims.
+
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160)"
+_FIELD = """'("(?:[^"]|"")*"|[^"' || d || ']*)'"""
+_MON = "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+_NUM = "(?:(?:[0-9]+|[0-9]{1,3}(?:,[0-9]{3})+)(?:[.][0-9]{0,2})?|[.][0-9]{1,2})"
+
+
+def _unquoted(fields: str) -> str:
+    return f"list_transform({fields}, lambda f: trim(CASE WHEN starts_with(f, chr(34)) THEN replace(substr(f, 2, len(f) - 2), chr(34) || chr(34), chr(34)) ELSE f END, {_WHITE}))"
+
+
+def _split(text: str) -> str:
+    return f"regexp_extract_all(d || {text}, '(?s)' || CASE WHEN d IN ('|', '^', '.', '*', '+', '?') THEN '[' || d || ']' ELSE d END || {_FIELD}, 1)"
+
+
+def _any_date(s: str) -> str:
+    """SQL: the day of a text in one of the accepted forms, null unless a real one."""
+    full = lambda form: f"regexp_full_match(lower({s}), '{form}')"
+    long_year = f"regexp_replace({s}, '([/-])([0-9][0-9])$', '\\120\\2')"
+    # Month names are cut to three letters.
+    short = f"regexp_replace({long_year}, '([A-Za-z]{{3}})[A-Za-z]*', '\\1')"
+    return f"""CASE WHEN {full("[0-9]{4}-[0-9]{2}-[0-9]{2}")} THEN try_strptime({s}, '%Y-%m-%d') WHEN {full("[0-9]{1,2}/[0-9]{1,2}/(?:[0-9]{4}|[0-9]{2})")} THEN try_strptime({long_year}, '%m/%d/%Y')
+    WHEN {full("[0-9]{8}")} THEN try_strptime({s}, '%Y%m%d') WHEN {full(_MON + " +[0-9]{1,2}, *[0-9]{4}")} THEN try_strptime(regexp_replace(regexp_replace({short}, ' +', ' ', 'g'), ', *', ' '), '%b %d %Y')
+    WHEN {full("[0-9]{1,2}-" + _MON + "-(?:[0-9]{4}|[0-9]{2})")} THEN try_strptime({short}, '%d-%b-%Y') END"""
+
+
+_FAILED = f"""h AS (SELECT file_id, header_line, delim AS d FROM ingest_file WHERE header_line IS NOT NULL AND delim IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY received_at DESC, header_line DESC, delim DESC) = 1),
+  n AS (SELECT *, list_transform({_unquoted(_split("header_line"))}, lambda f: lower(f)) AS names FROM h),
+  r AS (SELECT DISTINCT file_id, line_no, raw_text, d, names FROM raw_record JOIN n USING (file_id) WHERE trim(raw_text, {_WHITE}) <> ''),
+  g AS (SELECT *, list_reduce({_split("raw_text")}, lambda x, y: x || d || y) = raw_text AS quoted, {_unquoted(_split("raw_text"))} AS f FROM r),
+  v AS (SELECT *, len(f) = len(names) AS counted, f[coalesce(list_position(names, 'date'), list_position(names, 'posting date'))] AS day,
+    list_filter(list_transform(list_zip(names, f), lambda x: CASE WHEN x[1] IN ('amount', 'debit', 'credit', 'withdrawal amt', 'deposit amt', 'charge', 'payment') THEN x[2] END), lambda a: a <> '') AS amounts FROM g),
+  w AS (SELECT *, {_any_date("day")} IS NOT NULL AS dated, len(amounts) = 1 AND regexp_full_match(amounts[1], '[(][$]?[+-]?{_NUM}[)]|[$]?[+-]?{_NUM}') AS amounted FROM v)"""
+ORACLE["p3_found"] = f"""WITH {_FAILED} SELECT DISTINCT file_id, line_no, reason FROM (SELECT file_id, line_no, unnest(CASE WHEN NOT quoted THEN ['quoting'] WHEN NOT counted THEN ['column_count']
+  ELSE list_concat(CASE WHEN coalesce(dated, false) THEN CAST([] AS VARCHAR[]) ELSE ['date'] END, CASE WHEN coalesce(amounted, false) THEN CAST([] AS VARCHAR[]) ELSE ['amount'] END) END) AS reason FROM w)"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import dates, decimals, hashing, money, text
 from tallyweave.operators import findings as found
-from tallyweave.operators import ledger, logs, manifest, markup, merkle, registry
+from tallyweave.operators import evidence, ledger, logs, manifest, markup, merkle, registry
 from tallyweave.session import shared_folder, spread, table
 from tallyweave.sinks import reports
 from tallyweave.sources import delimited, files
@@ -107,25 +107,72 @@ def match_window_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.window_pairs(_bank(spark, sf_dir), _book(spark, sf_dir), 3).select("id_a", "id_b", F.col("gap").cast("int").alias("gap"))
 
 
-@query()
+# SQL of the greedy choice: the pairs of a key in order, taken one by one while both ends are free. Of splits: all pairs, then all triples.
+
+_SIMILAR = "CASE WHEN len(x) + len(y) = 0 THEN 1e0 ELSE CAST(len(list_intersect(x, y)) AS DOUBLE) / len(list_distinct(list_concat(x, y))) END"
+_WORD_SET = "list_distinct(list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^a-z0-9]+'), lambda w: w <> ''))"
+_BOUNCED = "coalesce({0}.kind = 'nsf' OR regexp_matches(lower({0}.memo), '\\bnsf\\b|returned|bounced|insufficient|reversal'), false)"
+
+
+def _greedy(n: str, a: str, b: str, days: int, sign: str = "", also: str = "true") -> str:
+    """CTEs `n`_q (the pairs) to `n` (id_a, id_b, gap, score): the greedy choice among rows of `a` and `b` of equal (or with a sign opposite) amounts."""
+    return f"""{n}_q AS (SELECT key, id_a, id_b, gap, {_SIMILAR} AS score FROM (SELECT a.amount AS key, a.id AS id_a, b.id AS id_b, abs(a.date - b.date) AS gap, {_WORD_SET.format("a.memo")} AS x, {_WORD_SET.format("b.memo")} AS y
+    FROM {a} a JOIN {b} b ON a.amount = {sign}b.amount AND abs(a.date - b.date) <= {days} AND {also})),
+  {n}_p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY gap, score DESC, id_a, id_b) AS r FROM {n}_q),
+  {n}_g AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS ua, CAST([] AS BIGINT[]) AS ub, false AS took FROM {n}_p UNION ALL
+    SELECT key, r, CASE WHEN free THEN list_append(ua, id_a) ELSE ua END, CASE WHEN free THEN list_append(ub, id_b) ELSE ub END, free FROM (
+      SELECT p.key, p.r, ua, ub, id_a, id_b, NOT list_contains(ua, id_a) AND NOT list_contains(ub, id_b) AS free FROM {n}_g g JOIN {n}_p p ON p.key = g.key AND p.r = g.r + 1)),
+  {n} AS (SELECT id_a, id_b, gap, score FROM {n}_p SEMI JOIN (SELECT key, r FROM {n}_g WHERE took) USING (key, r))"""
+
+
+def _splits(n: str, single: str, parts: str, days: int) -> str:
+    """CTEs up to `n` (id, part_ids): rows of `single` that two or three of at most 24 smaller rows of `parts` add up to; `n`_n counts these."""
+    return f"""{n}_c AS (SELECT s.id, s.amount, p.id AS part, p.amount AS pa FROM {single} s JOIN {parts} p ON sign(s.amount) = sign(p.amount) AND abs(p.amount) < abs(s.amount) AND abs(s.date - p.date) <= {days}),
+  {n}_n AS (SELECT id, count(*) AS candidates FROM {n}_c GROUP BY 1), {n}_f AS (SELECT {n}_c.* FROM {n}_c SEMI JOIN (SELECT id FROM {n}_n WHERE candidates BETWEEN 2 AND 24) USING (id)),
+  {n}_w AS (SELECT a.id, [a.part, b.part] AS part_ids FROM {n}_f a JOIN {n}_f b ON a.id = b.id AND a.part < b.part AND a.pa + b.pa = a.amount UNION ALL
+    SELECT a.id, [a.part, b.part, c.part] FROM {n}_f a JOIN {n}_f b ON a.id = b.id AND a.part < b.part JOIN {n}_f c ON c.id = b.id AND b.part < c.part AND a.pa + b.pa + c.pa = a.amount),
+  {n}_o AS (SELECT * FROM {n}_w QUALIFY row_number() OVER (PARTITION BY id ORDER BY len(part_ids), part_ids) = 1),
+  {n} AS (SELECT id, part_ids FROM (SELECT id, part_ids, min(id) OVER (PARTITION BY part) AS first FROM (SELECT id, part_ids, unnest(part_ids) AS part FROM {n}_o)) GROUP BY ALL HAVING bool_and(first = id))"""
+
+
+@query(f"""WITH RECURSIVE {_BANK}, {_BOOK}, {_greedy("m", "bank", "book", 3)} SELECT id_a, id_b, 5e-1 * (1 - gap / 4e0) + 5e-1 * score AS confidence FROM m""")
 def match_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.match_window(_bank(spark, sf_dir), _book(spark, sf_dir), 3)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BANK}, {_BOOK}, {_greedy("m", "bank", "book", 14, "-", f"({_BOUNCED.format('a')} OR {_BOUNCED.format('b')})")} SELECT id_a, id_b, least(95e-2, 5e-1 * (1 - gap / 15e0) + 5e-1 * score) AS confidence FROM m""")
 def match_reversals(spark: SparkSession, sf_dir: str) -> DataFrame:
     returned = (F.col("kind") == "nsf") | F.lower("memo").rlike(text.RETURNED)
     return ledger.match_reversals(_bank(spark, sf_dir), _book(spark, sf_dir), returned, 14)
 
 
-@query()
+_RESIDUES = f"""na AS (SELECT *, row_number() OVER (PARTITION BY amount ORDER BY {_KEY}, id) AS nth FROM bank), nb AS (SELECT *, row_number() OVER (PARTITION BY amount ORDER BY {_KEY}, id) AS nth FROM book),
+  ca AS (SELECT amount, count(*) AS c FROM bank GROUP BY 1), cb AS (SELECT amount, count(*) AS c FROM book GROUP BY 1),
+  ra AS (SELECT * FROM na LEFT JOIN cb USING (amount) WHERE nth > coalesce(c, 0)), rb AS (SELECT * FROM nb LEFT JOIN ca USING (amount) WHERE nth > coalesce(c, 0))"""
+
+
+@query(f"""WITH {_BANK}, {_BOOK}, {_RESIDUES}, {_splits("s", "ra", "rb", 2)} SELECT id, array_to_string(part_ids, ',') AS part_ids, 99e-2 AS confidence FROM s""")
 def match_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     bank, book = _bank(spark, sf_dir), _book(spark, sf_dir)
     # Of the rest that no single entry equals. Parts may be any party's, as a batch names several; the sides' places share no key.
-    return ledger.match_splits(ledger.residue(bank, book).drop("place"), ledger.residue(book, bank).drop("place"), 2, 3, 24)
+    found = ledger.match_splits(ledger.residue(bank, book).drop("place"), ledger.residue(book, bank).drop("place"), 2, 3, 24)
+    return found.withColumn("part_ids", F.array_join(F.col("part_ids").cast("array<string>"), ","))
 
 
-@query()
+_RANKED = "SELECT id, amount, date, row_number() OVER (PARTITION BY amount, date ORDER BY {key}, id) AS n FROM {side}"
+_PASSES = f"""ex AS (SELECT a.id AS id_a, b.id AS id_b FROM ({_RANKED.format(key=_KEY, side="bank")}) a JOIN ({_RANKED.format(key=_KEY, side="book")}) b USING (amount, date, n)),
+  a1 AS (SELECT * FROM bank ANTI JOIN (SELECT id_a AS id FROM ex) USING (id)), b1 AS (SELECT * FROM book ANTI JOIN (SELECT id_b AS id FROM ex) USING (id)), {_greedy("wi", "a1", "b1", 3)},
+  a2 AS (SELECT * FROM a1 ANTI JOIN (SELECT id_a AS id FROM wi) USING (id)), b2 AS (SELECT * FROM b1 ANTI JOIN (SELECT id_b AS id FROM wi) USING (id)), {_greedy("re", "a2", "b2", 3, "-", f"({_BOUNCED.format('a')} OR {_BOUNCED.format('b')})")},
+  a3 AS (SELECT * FROM a2 ANTI JOIN (SELECT id_a AS id FROM re) USING (id)), b3 AS (SELECT * FROM b2 ANTI JOIN (SELECT id_b AS id FROM re) USING (id)), {_splits("s1", "a3", "b3", 3)},
+  a4 AS (SELECT * FROM a3 ANTI JOIN s1 USING (id)), b4 AS (SELECT * FROM b3 ANTI JOIN (SELECT unnest(part_ids) AS id FROM s1) USING (id)), {_splits("s2", "b4", "a4", 3)},
+  a5 AS (SELECT * FROM a4 ANTI JOIN (SELECT unnest(part_ids) AS id FROM s2) USING (id)), b5 AS (SELECT * FROM b4 ANTI JOIN s2 USING (id))"""
+
+
+@query(f"""WITH RECURSIVE {_BANK}, {_BOOK}, {_PASSES}
+  SELECT 'a' AS side, id_a AS id, 'exact' AS bucket FROM ex UNION ALL SELECT 'b', id_b, 'exact' FROM ex UNION ALL SELECT 'a', id_a, 'window' FROM wi UNION ALL SELECT 'b', id_b, 'window' FROM wi
+  UNION ALL SELECT 'a', id_a, 'reversal' FROM re UNION ALL SELECT 'b', id_b, 'reversal' FROM re UNION ALL SELECT 'a', id, 'split' FROM s1 UNION ALL SELECT 'b', unnest(part_ids), 'split' FROM s1
+  UNION ALL SELECT 'b', id, 'split' FROM s2 UNION ALL SELECT 'a', unnest(part_ids), 'split' FROM s2
+  UNION ALL SELECT 'a', id, CASE WHEN candidates > 24 THEN 'declined' ELSE 'unmatched' END FROM a5 LEFT JOIN s1_n USING (id) UNION ALL SELECT 'b', id, CASE WHEN candidates > 24 THEN 'declined' ELSE 'unmatched' END FROM b5 LEFT JOIN s2_n USING (id)""")
 def match_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of either side with the bucket it ends in; `declined` has unmatched rows with too many candidates for a split to be searched."""
     returned = (F.col("kind") == "nsf") | F.lower("memo").rlike(text.RETURNED)
@@ -276,12 +323,15 @@ def diagnosis_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delimited.diagnosis_by_file(_diagnosed(spark, sf_dir), "file_id")
 
 
-_KIND = " ".join(f"WHEN regexp_matches(m, '{p}') THEN '{k}'" for k, p in text.KIND_PATTERNS)
+# Written for themselves, not taken from the operator's constants.
+_KIND = """WHEN regexp_matches(m, '(^|\\W)nsf($|\\W)|returned|bounced|insufficient|revers(al|e)') THEN 'nsf' WHEN regexp_matches(m, '(^|\\W)fee($|\\W)|service charge|svc chg|charge($|\\W)') THEN 'fee'
+  WHEN contains(m, 'transfer') OR contains(m, 'xfer') OR regexp_matches(m, 'ach (in|out)') THEN 'transfer' WHEN regexp_matches(m, '(^|\\W)check($|\\W)|chk ?#|ck#|draw|disbursement|payee') THEN 'check'
+  WHEN contains(m, 'deposit') OR contains(m, 'rent') OR regexp_matches(m, '(payment received|received from)') THEN 'deposit' WHEN regexp_matches(m, 'adjust|correction|void') THEN 'adjustment'"""
 
 
 @query(f"""WITH {_BANK}, t AS (SELECT id, amount, lower(coalesce(memo, '')) AS m, lower(trim(coalesce(kind, ''))) AS k, lower(trim(coalesce(kind, '')) || ' ' || coalesce(memo, '')) AS km FROM bank)
   SELECT id, CASE {_KIND} WHEN amount > 0 THEN 'deposit' WHEN amount < 0 THEN 'check' ELSE 'other' END AS classified,
-  CASE WHEN regexp_matches(m, '{text.RETURNED}') THEN 'nsf' WHEN k <> '' THEN k ELSE CASE {_KIND} WHEN amount > 0 THEN 'deposit' WHEN amount < 0 THEN 'check' ELSE 'other' END END AS coerced FROM t""")
+  CASE WHEN regexp_matches(m, '(^|\\W)nsf($|\\W)|returned|bounced|insufficient|reversal') THEN 'nsf' WHEN k <> '' THEN k ELSE CASE {_KIND} WHEN amount > 0 THEN 'deposit' WHEN amount < 0 THEN 'check' ELSE 'other' END END AS coerced FROM t""")
 def kind_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _bank(spark, sf_dir)
     return x.select("id", text.classify_kind(F.col("memo"), F.col("amount")).alias("classified"), text.coerce_kind(F.col("kind"), F.col("memo"), F.col("amount")).alias("coerced"))
@@ -437,13 +487,41 @@ def log_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.log_heads(e, "user_id", "event_id", "leaf")
 
 
-@query()
+@query("SELECT user_id, count(*) // 2 AS first, count(*) AS second, true AS holds FROM events GROUP BY 1")
 def log_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each user's log of half its size is a prefix of the whole, by consistency proof."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", F.unhex(F.sha2(F.concat_ws("|", "event_id", "event_type", "props").cast("binary"), 256)).alias("leaf"))
     return merkle.log_prefixes(e, "user_id", "event_id", "leaf", lambda n: n // 2)
 
 
+_LEVELS = """t AS (SELECT {g}0 AS level, pos, {leaf} AS node, n FROM leaves UNION ALL
+    SELECT {g}level + 1, pos // 2, {pair}, (n + 1) // 2 FROM t WHERE n > 1 GROUP BY {g}level, pos // 2, n)"""
+_SORTED = "leaves AS (SELECT unhex(h) AS d, row_number() OVER (ORDER BY h) - 1 AS pos, count(*) OVER () AS n FROM (SELECT sha256(coalesce(text, '')) AS h FROM documents)), " + _LEVELS.format(
+    g="", leaf="unhex(sha256('\\x00'::BLOB || d))", pair="unhex(sha256('\\x01'::BLOB || least(min_by(node, pos), max_by(node, pos)) || greatest(min_by(node, pos), max_by(node, pos))))"
+)
+_LOGS = "leaves AS (SELECT user_id, unhex(sha256(event_id || '|' || event_type || '|' || props)) AS d, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events), " + _LEVELS.format(
+    g="user_id, ", leaf="unhex(sha256('\\x00'::BLOB || d))", pair="CASE WHEN count(*) = 2 THEN unhex(sha256('\\x01'::BLOB || min_by(node, pos) || max_by(node, pos))) ELSE min_by(node, pos) END"
+)
+
+
+@query(f"WITH RECURSIVE {_SORTED} SELECT lower(hex(node)) AS root FROM t WHERE n = 1")
+def merkle_root_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.sorted_root(_digests(spark, sf_dir), "sha256")
+
+
+@query(f"WITH RECURSIVE {_SORTED} SELECT lower(hex(node)) AS root, (SELECT count(*) FROM leaves) AS leaves FROM t WHERE n = 1")
+def merkle_proofs_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The root that every leaf's own proof leads to, with the number of leaves: one row if all agree."""
+    p = merkle.sorted_proofs(_digests(spark, sf_dir), "sha256")
+    return p.groupBy(F.lower(F.hex(merkle.proof_folder("sha256")("digest", "proof"))).alias("root")).agg(F.count("*").alias("leaves"))
+
+
+@query(f"WITH RECURSIVE {_LOGS} SELECT user_id, (SELECT count(*) FROM leaves l WHERE l.user_id = t.user_id) AS size, lower(hex(node)) AS root FROM t WHERE n = 1")
+def log_heads_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.unhex(F.sha2(F.concat_ws("|", "event_id", "event_type", "props").cast("binary"), 256)).alias("leaf"))
+    return merkle.log_heads(e, "user_id", "event_id", "leaf", "sha256")
+
+
 # --- Registry -------------------------------------------------------------------------------------------------------
 
 _RECORDS = """r AS (SELECT '0x' || sha256(coalesce(text, '')) AS content_hash, '0x' || left(sha256(source), 40) AS contributor, doc_type <> 'session' AS author_bound, CAST(epoch(created_at) AS BIGINT) AS timestamp,
@@ -503,14 +581,26 @@ _HEX = "'0x' || lpad(to_hex(o_orderkey + 1), 64, '0')"
   walk AS (SELECT content_hash AS start, 0 AS depth, content_hash, parent FROM e WHERE last = 1 UNION ALL SELECT w.start, w.depth + 1, e.content_hash, e.parent FROM walk w JOIN e ON e.content_hash = w.parent WHERE w.depth < 15)
   SELECT start, CAST(depth AS INTEGER) AS depth, content_hash, depth = 15 AND parent IS NOT NULL AS capped FROM walk""")
 def lineage_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each customer's orders from the last back, 16 at most."""
+    """Each customer's orders from the last back with a ceiling of 16, beyond which walks are marked as capped; lineage_full has all."""
+    return registry.lineage(*_lineage(spark, sf_dir), 16).select("start", "depth", "content_hash", "capped")
+
+
+def _lineage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     from pyspark.sql import Window
 
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     hashed = F.concat(F.lit("0x"), F.lower(F.lpad(F.hex(F.col("o_orderkey") + 1), 64, "0")))
     e = table(spark, sf_dir, "orders").withColumn("content_hash", hashed).withColumn("parent", F.lag("content_hash").over(w)).withColumn("next", F.lead("o_orderkey").over(w))
     starts = e.filter("next is null").select(F.col("content_hash").alias("start"))
-    return registry.lineage(e.select("content_hash", "parent", F.col("o_orderkey").alias("index")), starts, 16).select("start", "depth", "content_hash", "capped")
+    return e.select("content_hash", "parent", F.col("o_orderkey").alias("index")), starts
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT lower({_HEX}) AS content_hash, lag(lower({_HEX})) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS last FROM orders),
+  walk AS (SELECT content_hash AS start, 0 AS depth, content_hash, parent FROM e WHERE last = 1 UNION ALL SELECT w.start, w.depth + 1, e.content_hash, e.parent FROM walk w JOIN e ON e.content_hash = w.parent WHERE w.depth < 255)
+  SELECT start, CAST(depth AS INTEGER) AS depth, content_hash, depth = 255 AND parent IS NOT NULL AS capped FROM walk""")
+def lineage_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders from the last back, to the operator's own ceiling of 256."""
+    return registry.lineage(*_lineage(spark, sf_dir)).select("start", "depth", "content_hash", "capped")
 
 
 # --- Logs -----------------------------------------------------------------------------------------------------------
@@ -610,7 +700,8 @@ def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.as_of(e.filter("event_type = 'purchase'"), e.filter("event_type = 'click'"), "user_id", "ts", "ts").select("event_id", "right_event_id")
 
 
-@query()
+@query("""WITH j AS (SELECT coalesce(account, 'none') AS journal, kind, row_number() OVER (PARTITION BY coalesce(account, 'none') ORDER BY CAST(loaded_at AS TIMESTAMP), '{' || concat_ws(',', '"entry_id":' || entry_id, '"amount":' || amount, '"kind":"' || kind || '"') || '}') - 1 AS seq FROM bank_entry)
+  SELECT journal, CAST(max(seq) AS INTEGER) AS broken_at, 'entry_hash' AS reason FROM j WHERE kind = 'nsf' GROUP BY 1""")
 def journal_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chained journals of every account's entries with one entry's body edited in each account with a returned item: the first break of each."""
     entries = _chained(spark, sf_dir)
@@ -736,12 +827,21 @@ def report_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.annotations(_findings(spark, sf_dir))
 
 
-@query()
+_ORDERED = f"{_FINDINGS}, n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {_RANK}, CAST(substr(rule, 4) AS INTEGER), location, message) AS nth FROM f)"
+
+
+@query(f"""WITH {_ORDERED}, i AS (SELECT source, string_agg('{{"ruleId":"' || rule || '","level":"' || CASE severity WHEN 'fatal' THEN 'error' WHEN 'warning' THEN 'warning' ELSE 'note' END || '","message":{{"text":"' || message
+    || '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || source || '"}},"region":{{"startLine":' || line || '}}}},"logicalLocations":[{{"name":"' || location || '","kind":"member"}}]}}],"partialFingerprints":{{"finding/v1":"'
+    || left(sha256(rule || chr(10) || location), 16) || '"}}}}', ',' ORDER BY nth) AS results FROM n GROUP BY 1),
+  u AS (SELECT source, string_agg('{{"id":"' || rule || '"}}', ',' ORDER BY nth) AS rules FROM (SELECT source, rule, min(nth) AS nth FROM n GROUP BY 1, 2) GROUP BY 1)
+  SELECT source, '{{"version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"ledger-check","rules":[' || rules || ']}}}},"results":[' || results || ']}}]}}' AS document FROM i JOIN u USING (source)""")
 def report_sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.sarif(_findings(spark, sf_dir), "ledger-check")
 
 
-@query()
+@query(f"""WITH {_ORDERED}, i AS (SELECT source, count(*) AS c, string_agg('<testcase name="' || rule || '"><failure message="' || message || '" type="' || severity || '"/></testcase>', '' ORDER BY nth) AS cases FROM n GROUP BY 1)
+  SELECT source, '<testsuite name="' || source || '" tests="' || greatest(coalesce(c, 0), 1) || '" failures="' || coalesce(c, 0) || '">' || coalesce(cases, '<testcase name="all rules"/>') || '</testsuite>' AS document
+  FROM (SELECT 'doc' || o_orderkey AS source FROM orders) LEFT JOIN i USING (source)""")
 def report_junit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.junit(_findings(spark, sf_dir), table(spark, sf_dir, "orders").select(F.concat(F.lit("doc"), F.col("o_orderkey")).alias("source")))
 
@@ -815,7 +915,13 @@ def check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "ingest").filter("party is not null").select(F.col("ingest_id").alias("id"), s.alias("text")).distinct().withColumn("holds", text.mod97_holds(F.col("text")))
 
 
-@query()
+_TOTALS = """s AS (SELECT CAST(coalesce(sum(amount) FILTER (source = 'bank'), 0) AS BIGINT) AS bank, CAST(coalesce(sum(amount) FILTER (source = 'quickbooks'), 0) AS BIGINT) AS book, CAST(coalesce(sum(amount) FILTER (source = 'rent_roll'), 0) AS BIGINT) AS rentroll FROM tx)"""
+
+
+@query(f"""{_PARTIES}, {_TOTALS}, k AS (SELECT kind, count(*) AS c, CAST(coalesce(sum(abs(amount)), 0) AS BIGINT) AS impact, grouping(kind) AS level FROM tx GROUP BY ROLLUP (kind)),
+  t AS (SELECT '{{"bank":' || bank || ',"book":' || book || ',"rentroll":' || rentroll || ',"gap":' || greatest(bank, book, rentroll) - least(bank, book, rentroll) || ',"ties_out":' || (greatest(bank, book, rentroll) = least(bank, book, rentroll)) || '}}' AS x FROM s),
+  y AS (SELECT '{{' || coalesce('"kind":"' || kind || '",', '') || '"count":' || c || ',"impact":' || impact || ',"level":' || level || '}}' AS x FROM k), z AS (SELECT '{{"party":' || CAST(to_json(party) AS VARCHAR) || ',"balance":' || balance || '}}' AS x FROM p WHERE balance < -10000000)
+  SELECT '{{"kind":"reconciliation","totals":[' || (SELECT x FROM t) || '],"kinds":[' || (SELECT string_agg(x, ',' ORDER BY x) FROM y) || '],"negative":[' || coalesce((SELECT string_agg(x, ',' ORDER BY x) FROM z), '') || ']}}' AS document""")
 def packet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON document of totals, roll-up and negative balances."""
     tx = _ingest(spark, sf_dir)
@@ -823,7 +929,9 @@ def packet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.packet(parts, "reconciliation")
 
 
-@query()
+@query("""WITH e AS (SELECT coalesce(ledger_code, 'none') AS session, doc_id, 0 AS part, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS ts, 'completion' AS type, CASE WHEN doc_type = 'session' THEN text ELSE coalesce(text, '') END AS payload FROM documents
+  UNION ALL SELECT coalesce(ledger_code, 'none'), doc_id, 1, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S'), 'tool_call', '{"name":"session","type":"tool_use"}' FROM documents WHERE doc_type = 'session')
+  SELECT session, row_number() OVER (PARTITION BY session ORDER BY doc_id, part) - 1 AS seq, ts, 'assistant' AS actor, type, payload FROM e WHERE payload IS NOT NULL""")
 def transcript_flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcript lines made of the documents (a text, or blocks of text and tool calls) flattened to events."""
     d = table(spark, sf_dir, "documents")
@@ -832,3 +940,114 @@ def transcript_flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.lit('{"ts":"'), F.col("created_at").cast("string"), F.lit('","role":"assistant","content":'), content, F.lit("}"))
     return files.transcript_events(d.select(F.coalesce("ledger_code", F.lit("none")).alias("session"), "doc_id", line.alias("line")), "session", "doc_id", "line")
 
+
+
+# --- Evidence -------------------------------------------------------------------------------------------------------
+
+# What is wrong with the event of each remainder by 16; 0 and 15 are sound, a full one and a redacted one.
+_FAULTS = (
+    None, "EVENT_NOT_OBJECT", "EVENT_UNKNOWN_FIELD", "EVENT_BAD_SEQ", "EVENT_BAD_TS", "EVENT_BAD_ACTOR", "EVENT_BAD_TYPE", "EVENT_BAD_PAYLOAD", "EVENT_BAD_PAYLOAD_HASH",
+    "EVENT_BAD_REDACTED_FLAG", "EVENT_MISSING_PAYLOAD", "EVENT_REDACTED_WITH_PAYLOAD", "EVENT_UNFLAGGED_REDACTION", "EVENT_PAYLOAD_HASH_MISMATCH", "EVENT_BAD_META", None,
+)
+
+
+def _event_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as JSON text, one kind of fault for each remainder of its number."""
+    e = table(spark, sf_dir, "events")
+    k, props = F.col("event_id") % 16, F.col("props")
+    commitment = F.concat(F.lit("0x"), F.sha2(props.cast("binary"), 256))
+    quoted = lambda c: F.substring(F.to_json(F.array(c)), 2, 1 << 30).substr(F.lit(1), F.length(F.to_json(F.array(c))) - 2)
+    member = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
+    members = F.array_compact(F.array(
+        member("seq", F.when(k == 3, "-1").otherwise(F.col("event_id").cast("string"))), F.when(k != 4, member("ts", quoted(F.col("ts").cast("string")))), member("actor", F.when(k == 5, '""').otherwise(F.lit('"u"'))),
+        member("type", F.when(k == 6, '"shout"').otherwise(F.lit('"note"'))), F.when(k == 7, member("payload", F.lit("7"))).when(~k.isin(10, 12, 15), member("payload", quoted(props))),
+        F.when(k == 8, member("payloadHash", F.lit('"0x12"'))).when(k == 13, member("payloadHash", F.concat(F.lit('"0x'), F.sha2(F.lit(b"other"), 256), F.lit('"')))).when(k.isin(12, 15), member("payloadHash", quoted(commitment))),
+        F.when(k == 9, member("redacted", F.lit('"yes"'))).when(k.isin(11, 15), member("redacted", F.lit("true"))), F.when(k == 2, member("extra", F.lit("1"))),
+        F.when(k == 14, member("meta", F.concat(F.repeat(F.lit("["), 40), F.repeat(F.lit("]"), 40)))).otherwise(member("meta", F.lit('{"b":1,"a":[true,null]}'))),
+    ))
+    return e.select("event_id", F.when(k == 1, "[1]").otherwise(F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))).alias("text"))
+
+
+@query("SELECT event_id, CASE event_id % 16 " + " ".join(f"WHEN {k} THEN '{r}'" for k, r in enumerate(_FAULTS) if r) + """ END AS reason, CASE WHEN event_id % 16 IN (0, 15) THEN '0x' || sha256('["test/v1:leaf",' || event_id || ',"' || strftime(ts, '%Y-%m-%d %H:%M:%S')
+  || CASE WHEN date_part('microsecond', ts) % 1000000 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(date_part('microsecond', ts) % 1000000 AS VARCHAR), 6, '0'), '0') END || '","u","note","0x' || sha256(props) || '","{\\"a\\":[true,null],\\"b\\":1}"]') END AS leaf FROM events""")
+def events_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reason for which each event is refused, and the leaf of the sound ones."""
+    x = evidence.strict_events(_event_texts(spark, sf_dir), "text", "sha256")
+    return x.select("event_id", "reason", evidence.strict_leaf("test/v1:leaf", "sha256").alias("leaf"))
+
+
+@query("""WITH c AS (SELECT doc_id, left(sha256(coalesce(text, '')), 40) AS commit, '0x' || sha256(source) AS root FROM documents WHERE doc_id % 7 NOT IN (4, 5))
+  SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'no-expected-facts' WHEN doc_id % 5 = 1 THEN 'oid-mismatch' WHEN doc_id % 5 = 2 THEN 'root-mismatch' ELSE 'ok' END AS verdict FROM c""")
+def claim_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commit claims found among notes (some withheld, some not canonical), checked against expected facts (some missing, some other)."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id") % 7
+    oid = F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 40)
+    root = F.concat(F.lit("0x"), F.sha2(F.col("source").cast("binary"), 256))
+    told = F.concat(F.lit('{"commit":"'), oid, F.lit('","gitRoot":"'), root, F.lit('","kind":"claim@1"'), F.when(k == 1, ',"scope":"src/a"').otherwise(""), F.lit("}"))
+    events = d.select("doc_id", F.lit("note").alias("type"), F.when(k == 4, F.concat(F.lit(" "), told)).when(k != 5, told).alias("payload"))
+    m = F.col("doc_id") % 5
+    facts = d.filter(m != 0).select("doc_id", F.when(m == 1, F.lit("0" * 40)).otherwise(oid).alias("oid"), F.when(m == 2, F.lit("0x" + "0" * 64)).otherwise(root).alias("root"))
+    return evidence.claim_verdicts(evidence.claims(events, "claim@1"), facts, "doc_id")
+
+
+@query(f"""WITH {_BANK} SELECT id, row_number() OVER (ORDER BY CASE kind WHEN 'nsf' THEN 1 WHEN 'fee' THEN 2 WHEN 'check' THEN 3 ELSE 4 END, coalesce(kind, ''), amount NULLS FIRST, CASE WHEN coalesce(CAST(date AS VARCHAR), memo, party) IS NULL THEN '' ELSE {_KEY} END) - 1 AS pos FROM (SELECT DISTINCT ON (amount, date) * FROM bank WHERE amount IS NOT NULL ORDER BY amount, date, id)""")
+def exceptions_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One entry of each amount and day as an exception, numbered in the total order."""
+    one = _bank(spark, sf_dir).filter("amount is not null").groupBy("amount", "date").agg(F.min_by(F.struct("id", "memo", "kind", "party"), "id").alias("r")).select("amount", "date", "r.*")
+    severity = F.when(F.col("kind") == "nsf", "error").when(F.col("kind") == "fee", "warning").when(F.col("kind") == "check", "info").otherwise("other")
+    return evidence.ordered_exceptions(one.select("id", severity.alias("severity"), F.coalesce("kind", F.lit("")).alias("type"), "amount", "date", "memo", "party")).select("id", "pos")
+
+
+@query(f"WITH {_FINDINGS} SELECT source, count(*) FILTER (severity IN ('fatal', 'warning')) AS crossing, count(*) FILTER (severity IN ('fatal', 'warning')) > 0 AS fails FROM f GROUP BY 1")
+def severity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.gate(_findings(spark, sf_dir), "warning")
+
+
+@query(f"""WITH {_FINDINGS}, n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {_RANK}, CAST(substr(rule, 4) AS INTEGER), location, message) AS nth FROM f)
+  SELECT source, string_agg(upper(severity) || ' ' || rule || ' ' || location || ': ' || message, chr(10) ORDER BY nth) FILTER (nth <= 3) || CASE WHEN count(*) > 3 THEN chr(10) || (count(*) - 3) || ' more' ELSE '' END AS document FROM n GROUP BY 1""")
+def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.text_summaries(_findings(spark, sf_dir), 3)
+
+
+@query(f"""WITH {_BY_SOURCE}, w AS (SELECT *, row_number() OVER (ORDER BY source) AS nth FROM b WHERE NOT valid)
+  SELECT (SELECT count(*) || ' files, ' || count(*) FILTER (NOT valid) || ' failed' FROM b) || chr(10) || (SELECT string_agg('FAILED ' || source || ': ' || coalesce(error, fatal || ' fatal'), chr(10) ORDER BY 'FAILED ' || source || ': ' || coalesce(error, fatal || ' fatal')) FROM w WHERE nth <= 5)
+    || (SELECT CASE WHEN count(*) > 5 THEN chr(10) || (count(*) - 5) || ' more' ELSE '' END FROM w) AS document""")
+def report_batch_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.batch_summary(_by_source(spark, sf_dir), 5)
+
+
+@query(f"""WITH {_ORDERED} SELECT source, '<!DOCTYPE html><html><head><meta charset="utf-8"><title>' || source || '</title></head><body><table><tr><th>Severity</th><th>Rule</th><th>Location</th><th>Message</th></tr>'
+  || string_agg('<tr><td>' || severity || '</td><td>' || rule || '</td><td>' || location || '</td><td>' || message || '</td></tr>', '' ORDER BY nth) || '</table></body></html>' AS document FROM n GROUP BY 1""")
+def report_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.render(_findings(spark, sf_dir), "html")
+
+
+@query(f"""WITH {_OLD}, l AS (SELECT path, content_hash, lower(sha256(encode(path) || '\x00'::BLOB || unhex(content_hash))) AS leaf, row_number() OVER (ORDER BY path) - 1 AS pos, count(*) OVER () AS n FROM o)
+  SELECT pos, CASE pos WHEN 0 THEN '{{"files":[' ELSE ',' END || '{{"relPath":"' || path || '","contentHash":"' || content_hash || '","leaf":"' || leaf || '"}}' || CASE pos WHEN n - 1 THEN ']}}' ELSE '' END AS line FROM l""")
+def manifest_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest as lines of one JSON document."""
+    return reports.manifest_lines(_versions(spark, sf_dir)[0])
+
+
+@query(f"""WITH {_RECORDS} SELECT index, '{{"contentHash":"' || content_hash || '","contributor":"' || contributor || '","authorBound":' || author_bound || ',"timestamp":' || timestamp || ',"blockNumber":' || block_number || coalesce(',"parent":"' || parent || '"', '') || ',"index":' || index || '}}' AS document FROM r""")
+def registry_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.json_rows(_records(spark, sf_dir))
+
+
+@query("""WITH b AS (SELECT o_custkey % 500 AS batch, sha256(CAST(o_orderkey % 20000 AS VARCHAR)) AS h FROM orders WHERE o_orderkey % 3 = 0)
+  SELECT batch, count(*) AS hashes FROM b WHERE batch IN (SELECT batch FROM b GROUP BY 1 HAVING count(*) = count(DISTINCT h)) AND batch NOT IN (SELECT x.batch FROM b x JOIN b y ON x.h = y.h AND x.batch <> y.batch) GROUP BY 1""")
+def batches_minted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of hashes that can be credited as a whole, where no two batches that are sound share a hash."""
+    o = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0")
+    b = o.select((F.col("o_custkey") % 500).alias("batch"), F.sha2((F.col("o_orderkey") % 20000).cast("string").cast("binary"), 256).alias("content_hash"))
+    shared = b.distinct().groupBy("content_hash").count().filter("count > 1").select("content_hash")
+    return evidence.minted(b, shared).groupBy("batch").agg(F.count("*").alias("hashes"))
+
+
+@query(f"""WITH {_OLD} SELECT path, strlen(coalesce(text, '')) AS size, content_hash AS digest FROM o JOIN (SELECT source || '/' || doc_id AS path, text FROM documents) USING (path)""")
+def chunked_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut into chunks of 1,000 characters, digested chunk by chunk."""
+    d = table(spark, sf_dir, "documents").filter("doc_type != 'session'").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).alias("t"))
+    k = F.explode(F.sequence(F.lit(0), F.floor(F.length("t") / 1000).cast("int")))
+    chunks = d.select("path", "t", k.alias("k")).select("path", "k", F.col("t").substr(F.col("k") * 1000 + 1, F.lit(1000)).cast("binary").alias("bytes"))
+    return files.chunk_digests(chunks, "path", "k", "bytes")

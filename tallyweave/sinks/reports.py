@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions.money import format_cents
 from tallyweave.functions.text import natural_key
 from tallyweave.operators.findings import severity_rank
+from tallyweave.operators.merkle import numbered
 
 _LEVELS = {"fatal": "error", "warning": "warning", "information": "note"}
 _GITLAB = {"fatal": "blocker", "warning": "minor", "information": "info"}
@@ -131,6 +132,73 @@ def badge(findings: DataFrame) -> DataFrame:
     return worst.select(F.lit("conformance").alias("label"), message.alias("message"), color.alias("color"))
 
 
+def text_summaries(findings: DataFrame, k: int = 20) -> DataFrame:
+    """(source, document): each source's first `k` findings, one a line, and how many more there are."""
+    line = F.concat(F.upper("severity"), F.lit(" "), F.coalesce("rule", F.lit("")), F.lit(" "), F.coalesce("location", F.lit("")), F.lit(": "), F.coalesce("message", F.lit("")))
+    x = _documents(findings, line)
+    more = F.size("items") - k
+    return x.select("source", F.concat(F.array_join(F.slice("items", 1, k), "\n"), F.when(more > 0, F.concat(F.lit("\n"), more.cast("string"), F.lit(" more"))).otherwise("")).alias("document"))
+
+
+def batch_summary(files: DataFrame, k: int = 50) -> DataFrame:
+    """One row (document) over the result of by_source(): a line of totals, then the first `k` files that are not valid."""
+    bad = files.filter("not valid").orderBy("source").limit(k).agg(F.array_sort(F.collect_list(F.concat(F.lit("FAILED "), "source", F.lit(": "), F.coalesce("error", F.concat(F.col("fatal").cast("string"), F.lit(" fatal")))))).alias("lines"))
+    total = files.agg(F.count("*").alias("n"), F.count_if(~F.col("valid")).alias("failed"))
+    head = F.concat(F.col("n").cast("string"), F.lit(" files, "), F.col("failed").cast("string"), F.lit(" failed"))
+    rest = F.when(F.col("failed") > k, F.array(F.concat((F.col("failed") - k).cast("string"), F.lit(" more")))).otherwise(F.array().cast("array<string>"))
+    return total.crossJoin(F.broadcast(bad)).select(F.array_join(F.concat(F.array(head), "lines", rest), "\n").alias("document"))  # one row each
+
+
+def html_tables(findings: DataFrame) -> DataFrame:
+    """(source, document): a page with a table of each source's findings."""
+    cell = lambda c: F.concat(F.lit("<td>"), _xml(F.col(c).cast("string")), F.lit("</td>"))
+    row = F.concat(F.lit("<tr>"), *(cell(c) for c in ("severity", "rule", "location", "message")), F.lit("</tr>"))
+    x = _documents(findings, row)
+    head = "<table><tr><th>Severity</th><th>Rule</th><th>Location</th><th>Message</th></tr>"
+    return x.select("source", F.concat(F.lit("<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>"), _xml(F.col("source")), F.lit(f"</title></head><body>{head}"), F.array_join("items", ""), F.lit("</table></body></html>")).alias("document"))
+
+
+def render(findings: DataFrame, form: str, sources: DataFrame | None = None) -> DataFrame:
+    """Findings in one of the forms json, text, html, sarif, junit (needs `sources`), gitlab, github, azure, badge; ValueError for others."""
+    forms = {
+        "json": lambda: _documents(findings, F.struct("severity", "rule", "location", "message", "line")).select("source", F.to_json("items").alias("document")),
+        "text": lambda: text_summaries(findings), "html": lambda: html_tables(findings), "sarif": lambda: sarif(findings, "ledger-check"), "gitlab": lambda: code_quality(findings),
+        "junit": lambda: junit(findings, findings.select("source").distinct() if sources is None else sources),
+        "github": lambda: annotations(findings), "azure": lambda: log_issues(findings), "badge": lambda: badge(findings),
+    }
+    if form not in forms:
+        raise ValueError(f"no form {form}; there are {', '.join(forms)}")
+    return forms[form]()
+
+
+def bundle(documents: dict[str, DataFrame]) -> DataFrame:
+    """(name, content, digest): one-row documents by name as bytes with their SHA-256; each must have the one column document."""
+    out = None
+    for name, df in documents.items():
+        part = df.select(F.lit(name).alias("name"), F.col("document").cast("binary").alias("content"), F.sha2(F.col("document").cast("binary"), 256).alias("digest"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def manifest_lines(manifest: DataFrame) -> DataFrame:
+    """(pos, line): a manifest (path, content_hash, leaf) as one JSON document, a file a line in order of paths.
+
+    Lines are numbered by ranges, so a manifest of any size is written in parallel; parts joined in order are the document.
+    """
+    item = F.to_json(F.struct(F.col("path").alias("relPath"), F.col("content_hash").alias("contentHash"), "leaf"))
+    x = numbered(manifest.select("path", "content_hash", "leaf"), "path", "content_hash")
+    total = x.agg(F.max("pos").alias("last"))  # one row
+    line = F.concat(F.when(F.col("pos") == 0, '{"files":[').otherwise(","), item, F.when(F.col("pos") == F.col("last"), "]}").otherwise(""))
+    lines = x.crossJoin(F.broadcast(total)).select("pos", line.alias("line"))
+    none = manifest.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit(0).cast("bigint").alias("pos"), F.lit('{"files":[]}').alias("line"))
+    return lines.unionByName(none)
+
+
+def write_manifest(manifest: DataFrame, folder: str) -> None:
+    """manifest_lines() as text parts below `folder`, in order."""
+    manifest_lines(manifest).orderBy("pos").select("line").write.mode("errorifexists").text(folder)
+
+
 def explained(findings: DataFrame, catalogue: DataFrame, language: str = "en") -> DataFrame:
     """Findings with title and fix of the catalogue (rule, language, title, fix): in the language, else in English, else null."""
     pick = lambda lang, tag: catalogue.filter(F.col("language") == lang).select("rule", F.col("title").alias(f"title_{tag}"), F.col("fix").alias(f"fix_{tag}")).dropDuplicates(["rule"])

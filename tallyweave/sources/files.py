@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import json
 import subprocess
+from collections.abc import Iterator
 from fnmatch import fnmatch
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tallyweave.functions.hashing import keccak256, path_leaf
 from tallyweave.functions.text import posix_path
+from tallyweave.operators.logs import strict_json
 
 MANIFEST = "root string, files array<struct<relPath:string,contentHash:string,leaf:string,hints:struct<source:string,license:string>>>"
 JOURNAL = "journal string, seq bigint, prevHash string, ts string, artifact string, verdict string, entryHash string"
@@ -108,6 +113,89 @@ def batch_entries(text: str) -> list[str]:
     return [w for line in text.splitlines() for w in line.split("#")[0].split()]
 
 
+class ArtifactError(ValueError):
+    """A small artifact is no JSON object, or lacks members, or has unknown ones."""
+
+
+def read_artifact(path: str, required: dict[str, type | tuple], optional: dict[str, type | tuple] | None = None, kind: tuple[str, str] | None = None) -> dict:
+    """A policy, receipt, close or baseline: one small JSON object, read strictly on the driver.
+
+    `required` and `optional` name the members and their Python types; `kind` a member and the value it must have.
+    ArtifactError names the first member that is missing, unknown or of another type.
+    """
+    try:
+        value = strict_json(Path(path).read_text("utf-8-sig"))
+    except (OSError, ValueError) as e:
+        raise ArtifactError(f"{path}: {e}") from e
+    if not isinstance(value, dict):
+        raise ArtifactError(f"{path}: no JSON object")
+    every = required | (optional or {})
+    if kind is not None and value.get(kind[0]) != kind[1]:
+        raise ArtifactError(f"{path}: {kind[0]} is not {kind[1]}")
+    for name in required:
+        if name not in value:
+            raise ArtifactError(f"{path}: {name} is missing")
+    for name, v in value.items():
+        if name not in every and (kind is None or name != kind[0]):
+            raise ArtifactError(f"{path}: {name} is unknown")
+        if name in every and (not isinstance(v, every[name]) or isinstance(v, bool) and every[name] is int):
+            raise ArtifactError(f"{path}: {name} has another type")
+    return value
+
+
+def agreeing_profiles(baseline: dict, current: str, path: str = "baseline") -> None:
+    """ArtifactError unless a baseline report was made under the profile that is current; one without profile fits none."""
+    if baseline.get("profile") != current:
+        raise ArtifactError(f"{path}: made under profile {baseline.get('profile')}, not {current}")
+
+
+def load_settings(folder: str, name: str, table_name: str | None = None) -> tuple[dict, str | None]:
+    """(settings, file they came from) of the nearest TOML file `name` in `folder` or above, or its table; ({}, null) if there is none."""
+    import tomllib
+
+    for at in (Path(folder).resolve(), *Path(folder).resolve().parents):
+        if (at / name).is_file():
+            with (at / name).open("rb") as f:
+                found = tomllib.load(f)
+            for part in (table_name or "").split(".") if table_name else ():
+                found = found.get(part, {})
+            return found, str(at / name)
+    return {}, None
+
+
+def chunk_digests(chunks: DataFrame, file: str, number: str, content: str) -> DataFrame:
+    """(file, size, digest): SHA-256 of files that come as chunks, in order of their numbers; memory holds one batch of chunks.
+
+    Chunks are parted by file and sorted; the running hash goes from batch to batch of a task, so a file of any size needs
+    no cell of its own. Null chunks count as empty.
+    """
+    import hashlib
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, digest, size, out = None, None, 0, []
+        for batch in batches:
+            for f, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if digest is None or f != open_:
+                    if digest is not None:
+                        out.append((open_, size, digest.hexdigest()))
+                    open_, digest, size = f, hashlib.sha256(), 0
+                digest.update(data or b"")
+                size += len(data or b"")
+            if len(out) >= 10_000:
+                yield _rows(out)
+                out = []
+        if digest is not None:
+            out.append((open_, size, digest.hexdigest()))
+        yield _rows(out)
+
+    kind = chunks.schema[file].dataType.simpleString()
+    ddl = f"`{file}` {kind}, size bigint, digest string"
+    types = to_arrow_schema(StructType.fromDDL(ddl))
+    _rows = lambda out: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(types)], schema=types)
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return chunks.select(file, number, content).repartition(n, file).sortWithinPartitions(file, number).mapInArrow(run, ddl)
+
+
 def git_files(spark: SparkSession, folder: str, ref: str = "HEAD") -> DataFrame:
     """(path) of the files tracked at a ref."""
     out = subprocess.run(["git", "-C", folder, "ls-tree", "-r", "-z", "--name-only", ref], capture_output=True, check=True).stdout.decode()
