@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from tallyweave.functions.dates import MONTH_NAMES
 from tallyweave.session import small_side
 
 # Header names by what they hold.
@@ -31,13 +32,12 @@ AMOUNT_PAIRS = (("debit", "credit"), ("withdrawal amt", "deposit amt"), ("charge
 MEMO_NAMES = ("memo", "description", "details")
 KIND_NAMES = ("type",)
 PARTY_NAMES = ("name", "tenant")
-MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 #: Failing blocks of at most so many records are read one by one.
 LEAF = 16
 
 _SPACE = " \t\r\n\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
-_MONTH = "(?:" + "|".join(f"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in MONTHS) + ")"
+_MONTH = "(?:" + "|".join(f"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in MONTH_NAMES) + ")"
 _NUMBER = r"(?:(?:\d+|\d{1,3}(?:,\d{3})+)(?:\.\d{0,2})?|\.\d{1,2})"
 _AMOUNT = rf"\$?[+-]?{_NUMBER}"
 AMOUNT = rf"^(?:\({_AMOUNT}\)|{_AMOUNT})$"
@@ -55,7 +55,7 @@ def parse_day(text: str) -> date | None:
     numbers = [int(x) for x in re.findall(r"\d+", text)]
     word = re.search(r"[A-Za-z]+", text)
     if word:
-        month = next(k for k, m in enumerate(MONTHS, 1) if m.startswith(word[0][:3].lower()))
+        month = next(k for k, m in enumerate(MONTH_NAMES, 1) if m.startswith(word[0][:3].lower()))
         day, year = numbers
     elif "/" in text:
         month, day, year = numbers

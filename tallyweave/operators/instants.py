@@ -2,7 +2,8 @@
 
 Parsing stays in the JVM: one regular expression per notation rewrites a text into `|year|month|…|zone`, which is then
 split. Local times meet their zone's offset by an as-of join: the offset intervals of a zone are exploded by local year,
-so the join is an equi-join on (zone, year) with a range condition, against a table bounded by the IANA zones.
+so the join is an equi-join on (zone, year) against a table bounded by the IANA zones, whose intervals are then matched
+with the time: two hold an ambiguous time, none a skipped one, one gives the offset directly.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.functions.dates import MONTHS
 from tallyweave.session import small_side
 
 # Abbreviations and their offsets from UTC in minutes.
@@ -24,7 +26,6 @@ ABBREVIATIONS = {
     "MDT": -360, "PST": -480, "PDT": -420, "AKST": -540, "AKDT": -480, "HST": -600, "HDT": -540,
     "WET": 0, "WEST": 60, "BST": 60, "IST": 60, "CET": 60, "CEST": 120, "MET": 60, "MEST": 120, "EET": 120, "EEST": 180, "MSK": 180, "MSD": 240,
 }
-MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 #: Local years that the interval table spells out. Earlier times use the first; later years the year in it with the same calendar.
 FIRST_YEAR, LAST_YEAR = 1850, 2128
@@ -126,16 +127,18 @@ def parse_local(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
 
 
 def zone_intervals(zones: DataFrame) -> DataFrame:
-    """(zone, local_year, from_local, to_local, offset_s, clock) for the names in the one string column of `zones`.
+    """(zone, local_year, from_local, to_local, offset_s) for the names in the one string column of `zones`.
 
-    The intervals of a zone do not overlap: where offset intervals meet twice, `clock` is 'ambiguous', where none
-    matches, 'skipped', else 'unique'; both special cases carry the offset before the change. Names are compared in
-    lower case; unknown ones give no rows. At most some 600 zones times 279 years times 4 rows.
+    A row is the span of local time, in microseconds, that a zone's clock runs through under one offset, once for each local
+    year that it touches. Spans overlap where a clock is put back and leave a gap where it is put forward. Names are
+    compared in lower case; unknown ones give no rows. At most some 600 zones times 279 years times 4 rows. Changes are
+    looked for from week to week: two within a week that return to the first offset are taken for none.
     """
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = {x.lower(): x for x in available_timezones()}
         epoch, week = datetime(1970, 1, 1, tzinfo=timezone.utc), timedelta(days=7)
+        year_of = lambda micros: max(FIRST_YEAR, min(LAST_YEAR + 1, (epoch + timedelta(microseconds=max(min(micros, 5_100_000_000_000_000), -3_900_000_000_000_000))).year))
         for batch in batches:
             out = []
             for zone in batch.iloc[:, 0]:
@@ -154,19 +157,16 @@ def zone_intervals(zones: DataFrame) -> DataFrame:
                             low, high = (mid, high) if offset(mid) == now else (low, mid)
                         then = offset(high)
                         change = int((high - epoch).total_seconds())
-                        a, b = sorted(((change + now) * 1_000_000, (change + then) * 1_000_000))
-                        spans += [(start, a, now, "unique"), (a, b, now, "ambiguous" if then < now else "skipped")]
-                        start, now, at = b, then, high
+                        spans.append((start, (change + now) * 1_000_000, now))
+                        start, now, at = (change + then) * 1_000_000, then, high
                         continue
                     at = nxt
-                spans.append((start, _FAR, now, "unique"))
-                for low, high, secs, clock in spans:
-                    first = max(FIRST_YEAR, min(LAST_YEAR + 1, (epoch + timedelta(microseconds=max(low, -3_900_000_000_000_000))).year))
-                    last = max(FIRST_YEAR, min(LAST_YEAR + 1, (epoch + timedelta(microseconds=min(high - 1, 5_100_000_000_000_000))).year))
-                    out += [(zone, y, low, high, secs, clock) for y in range(first, last + 1)]
-            yield pd.DataFrame(out, columns=["zone", "local_year", "from_local", "to_local", "offset_s", "clock"])
+                spans.append((start, _FAR, now))
+                # A span counts for the year in which it ends, too: a gap at the turn of a year asks for the span before it.
+                out += [(zone, y, low, high, secs) for low, high, secs in spans for y in range(year_of(low), year_of(high) + 1)]
+            yield pd.DataFrame(out, columns=["zone", "local_year", "from_local", "to_local", "offset_s"])
 
-    return zones.mapInPandas(expand, "zone string, local_year int, from_local long, to_local long, offset_s int, clock string")
+    return zones.mapInPandas(expand, "zone string, local_year int, from_local long, to_local long, offset_s int")
 
 
 def to_utc(df: DataFrame, text: str, default_zone: str) -> DataFrame:
@@ -188,13 +188,19 @@ def to_utc(df: DataFrame, text: str, default_zone: str) -> DataFrame:
     shift = F.when(F.col("_tw_year") > LAST_YEAR, (jan1(F.col("_tw_like")) - jan1(F.col("_tw_year"))).cast("long") * _DAY).otherwise(F.lit(0))
     x = x.withColumn("_tw_like", F.when(F.col("_tw_key").isNotNull(), same)).withColumn("_tw_at", F.col("_tw_local_micros") + shift)
     named = df.select(F.lower(F.btrim(F.col(default_zone))).alias("zone")).union(df.filter(F.col(text).contains("/")).select(F.lower(F.regexp_extract(F.col(text), _ZONE_IN_TEXT, 1))))
-    known = zone_intervals(named.filter("zone is not null and zone != ''").distinct())
-    z = F.broadcast(known.select(*(F.col(c).alias(f"_tz_{c}") for c in known.columns)))
-    on = (F.col("_tw_key") == F.col("_tz_zone")) & (F.col("_tw_like") == F.col("_tz_local_year")) & (F.col("_tw_at") >= F.col("_tz_from_local")) & (F.col("_tw_at") < F.col("_tz_to_local"))
-    y = x.join(z, on, "left")
-    offset = F.coalesce(F.col("_tw_offset_s"), F.col("_tz_offset_s"), F.when(F.col("_tw_given") == "utc", 0))
+    # As-of join: a time meets the spans of its zone and year, in order, and those that hold it are counted. Bounded by zones and years.
+    spans = zone_intervals(named.filter("zone is not null and zone != ''").distinct())
+    spans = spans.groupBy(F.col("zone").alias("_tz_zone"), F.col("local_year").alias("_tz_year")).agg(F.array_sort(F.collect_list(F.struct("from_local", "to_local", "offset_s"))).alias("_tz_spans"))
+    y = x.join(F.broadcast(spans), (F.col("_tw_key") == F.col("_tz_zone")) & (F.col("_tw_like") == F.col("_tz_year")), "left")
+    at = F.col("_tw_at")
+    y = y.withColumn("_tz_held", F.filter("_tz_spans", lambda p: (p["from_local"] <= at) & (at < p["to_local"])))
+    matches = F.size("_tz_held")
+    # One match gives the offset; of two the first is meant; with none, a skipped time, the span that ended last before it counts.
+    before = F.element_at(F.filter("_tz_spans", lambda p: p["to_local"] <= at), -1)
+    found = F.when(matches > 0, F.get("_tz_held", F.lit(0))["offset_s"]).when(matches == 0, before["offset_s"])
+    offset = F.coalesce(F.col("_tw_offset_s"), found, F.when(F.col("_tw_given") == "utc", 0))
     utc = F.coalesce(F.col("_tw_epoch_micros"), F.col("_tw_local_micros") - offset.cast("long") * 1_000_000)
-    clock = F.when(utc.isNotNull(), F.coalesce(F.col("_tz_clock"), F.lit("unique")))
+    clock = F.when(utc.isNotNull(), F.when(matches >= 2, "ambiguous").when(matches == 0, "skipped").otherwise("unique"))
     return y.select(*(df[c] for c in df.columns), utc.alias("utc_micros"), clock.alias("clock"))
 
 

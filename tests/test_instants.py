@@ -88,3 +88,12 @@ def test_ingest_rows(spark, rows):
     noon = _micros(2025, 7, 2, 3, 4)
     assert rows(instants.ingest_instants(ingest, files)) == [(1, noon + 4 * 3_600_000_000), (2, noon), (3, noon)]
     assert rows(instants.ingest_instants(ingest.limit(0), files.limit(0))) == []
+
+
+def test_intervals_overlap_and_leave_gaps(spark):
+    z = instants.zone_intervals(spark.createDataFrame([("america/new_york",), ("nowhere/land",)], "zone string"))
+    hour = 3_600_000_000
+    got = sorted((r.from_local, r.to_local, r.offset_s // 3600) for r in z.filter("local_year = 2024").collect())
+    assert [o for *_, o in got] == [-5, -4, -5]
+    (_, end, _), (start, stop, _), (again, _, _) = got
+    assert start - end == hour and stop - again == hour and {r.zone for r in z.select("zone").distinct().collect()} == {"america/new_york"}
