@@ -100,3 +100,17 @@ def same_look(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     first = pairs.join(rows.select("form", F.col("own").alias("a"), F.col("id").alias("id_a")), ["form", "a"])
     both = first.join(rows.select("form", F.col("own").alias("b"), F.col("id").alias("id_b")), ["form", "b"])
     return both.filter("id_a != id_b").select(F.least("id_a", "id_b").alias("doc_a"), F.greatest("id_a", "id_b").alias("doc_b")).distinct()
+
+
+def look_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, look_id, text_id, spellings): one row for each row whose text has a visible character; copies are not expanded into pairs.
+
+    `look_id` is the least key of the rows that look the same, `text_id` that of the rows equal in code points, `spellings`
+    the number of different texts of the look. Rows that differ in text_id and agree in look_id are the pairs of
+    same_look(). Classes are counted before rows meet them, so a look that a third of all rows has joins one row per text.
+    """
+    rows = checkpointed(one_form(df, key, text).filter("form_key is not null").select(F.col(key).alias("id"), F.unhex("form_key").alias("form"), F.unhex("text_key").alias("own")))
+    texts = rows.groupBy("form", "own").agg(F.min("id").alias("text_id"))
+    looks = texts.groupBy("form").agg(F.min("text_id").alias("look_id"), F.count("*").alias("spellings"))
+    named = texts.join(looks, "form").select("form", "own", "text_id", "look_id", "spellings")
+    return rows.join(named, ["form", "own"]).select(F.col("id").alias(key), "look_id", "text_id", "spellings")

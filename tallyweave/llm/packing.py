@@ -226,3 +226,21 @@ def pack(sizes: DataFrame, key: str = "doc_id", size: str = "tokens", capacity:
     ranked = some.withColumn("nth", F.row_number().over(Window.partitionBy("tokens", "salt").orderBy(key, "piece_no")))
     placed = ranked.mapInArrow(place, f"`{key}` {kind}, piece_no long, tokens int, container_id long")
     return placed.unionByName(pieces.filter("tokens = 0").select(key, "piece_no", "tokens", F.lit(None).cast("long").alias("container_id")))
+
+
+def methods(sizes: DataFrame, size: str = "tokens", capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
+    """(method, containers, used, lower_bound): what linear grouping and best-fit alone would take, and which of them pack() uses.
+
+    `lower_bound` is the total size over the capacity, rounded up. Two rows.
+    """
+    n = F.coalesce(F.col(size), F.lit(0)).cast("long")
+    parts = sizes.select((n % capacity).cast("int").alias("rest"), F.floor(n / capacity).alias("whole"))
+    # At most capacity rows.
+    rows = parts.groupBy("rest").agg(F.count("*").alias("n"), F.sum("whole").alias("whole")).collect()
+    counts = {r.rest: r.n for r in rows if r.rest}
+    if whole := sum(r.whole for r in rows):
+        counts[capacity] = whole
+    bound = -(-sum(s * c for s, c in counts.items()) // capacity)
+    taken = {name: _plan(counts, capacity, groups, limit)[1] for name, limit in (("linear_grouping", capacity // 8), ("best_fit", capacity))}
+    used = min(taken, key=taken.get)
+    return sizes.sparkSession.createDataFrame([(name, c, name == used, bound) for name, c in taken.items()], "method string, containers long, used boolean, lower_bound long")

@@ -21,14 +21,24 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.least("bank_id", "book_id").alias("entry_a"), F.greatest("bank_id", "book_id").alias("entry_b"))
 
 
+def _vocabulary(spark: SparkSession) -> str:
+    """The tokenizer's file: the session setting tallyweave.vocabulary, or the public one."""
+    return spark.conf.get("tallyweave.vocabulary", encode.VOCABULARY)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ids) of every document by byte_bpe_50k."""
-    return encode.encode_texts(table(spark, sf_dir, "documents"))
+    return encode.encode_texts(table(spark, sf_dir, "documents"), vocabulary=_vocabulary(spark))
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, piece_no, tokens, container_id) of every document in containers of 2,048 tokens."""
-    return packing.pack(encode.count_tokens(table(spark, sf_dir, "documents")))
+    return packing.pack(encode.count_tokens(table(spark, sf_dir, "documents"), vocabulary=_vocabulary(spark)))
+
+
+def p7_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers by each method, the one used, and the lower bound."""
+    return packing.methods(encode.count_tokens(table(spark, sf_dir, "documents"), vocabulary=_vocabulary(spark)))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,10 +46,15 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.same_look(table(spark, sf_dir, "documents"))
 
 
+def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, look_id, text_id, spellings): the class of each document's look and of its text."""
+    return lookalike.look_classes(table(spark, sf_dir, "documents"))
+
+
 def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, form): the one form of every document's text."""
     return lookalike.one_form(table(spark, sf_dir, "documents")).select("doc_id", "form")
 
 
-QUERIES = {"p5_found": p5_found, "p5_matches": p5_matches, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_forms": p8_forms}
+QUERIES = {"p5_found": p5_found, "p5_matches": p5_matches, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_methods": p7_methods, "p8_found": p8_found, "p8_classes": p8_classes, "p8_forms": p8_forms}
 ORACLE: dict[str, str] = {}

@@ -82,3 +82,13 @@ def test_forms_of_tables(spark, rows):
     df = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "doc_id long, text string")
     assert rows(lookalike.one_form(df), "doc_id", "form") == [(1, "a b"), (2, None), (3, "")]
     assert lookalike.one_form(df.limit(0)).count() == 0 and lookalike.same_look(df.limit(0)).count() == 0
+
+
+def test_classes_agree_with_pairs(spark):
+    texts = ["abc", "аbс", "abc", "ABC", None, "", "\u200b", "ａｂｃ", "x\u00a0y", "x y", "x y"]
+    df = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "doc_id long, text string, look_id string")
+    got = {r.doc_id: (r.look_id, r.text_id, r.spellings) for r in lookalike.look_classes(df).collect()}
+    assert got == {0: (0, 0, 3), 1: (0, 1, 3), 2: (0, 0, 3), 7: (0, 7, 3), 3: (3, 3, 1), 8: (8, 8, 2), 9: (8, 9, 2), 10: (8, 9, 2)}
+    pairs = {(a, b) for a in got for b in got if a < b and got[a][0] == got[b][0] and got[a][1] != got[b][1]}
+    assert pairs == {tuple(r) for r in lookalike.same_look(df).collect()}
+    assert lookalike.look_classes(df.limit(0)).count() == 0

@@ -102,3 +102,13 @@ def test_other_keys_and_capacities(spark):
     df = spark.createDataFrame([("a", 10), ("b", 7), ("c", 3)], "name string, size int")
     got = packing.pack(df, "name", "size", capacity=10, groups=2).collect()
     assert len({r.container_id for r in got}) == 2 and sum(r.tokens for r in got) == 20
+
+
+def test_methods_tell_what_pack_uses(spark):
+    rng = random.Random(9)
+    sizes = spark.createDataFrame([(k, rng.choice([None, 0, rng.randint(1, 5000)])) for k in range(400)], "doc_id long, tokens long")
+    rows = {r.method: r for r in packing.methods(sizes).collect()}
+    packed = packing.pack(sizes).filter("container_id is not null").select("container_id").distinct().count()
+    (used,) = (r for r in rows.values() if r.used)
+    assert set(rows) == {"linear_grouping", "best_fit"} and used.containers == packed == min(r.containers for r in rows.values()) >= used.lower_bound
+    assert {r.containers for r in packing.methods(sizes.limit(0)).collect()} == {0}
