@@ -17,7 +17,8 @@ from tallyweave.functions.hashing import keccak256
 from tallyweave.functions.text import record_key
 from tallyweave.operators.ledger import residue
 from tallyweave.operators.logs import EVENT_TYPES, canonical, canonical_json, chain_breaks, strict_json
-from tallyweave.operators.merkle import log_heads, numbered
+from tallyweave.operators.merkle import log_heads, proof_folder
+from tallyweave.operators.ordered import numbered
 from tallyweave.session import checkpointed
 
 # Members of an event, and the reasons for which one is refused.
@@ -249,3 +250,37 @@ def minted(batches: DataFrame, known: DataFrame) -> DataFrame:
 def in_currency(items: str, member: str, currency: Column) -> Column:
     """Items of an array of structs whose member is the document's currency."""
     return F.filter(F.col(items), lambda e: F.coalesce(e[member] == currency, F.lit(False)))
+
+
+def label(party: Column, nobody: str = "(no name)") -> Column:
+    """A party's name trimmed, or `nobody` for null and blank ones."""
+    return F.coalesce(F.nullif(F.btrim(party), F.lit("")), F.lit(nobody))
+
+
+def first_per(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """The first row of each key by `order`, then by all its columns: a partial aggregate, so a hot key is not one task's."""
+    others = [c for c in rows.columns if c != key and c not in order]
+    return rows.groupBy(key).agg(F.min(F.struct(*order, *others)).alias("_r")).select(*(F.col(key) if c == key else F.col("_r")[c].alias(c) for c in rows.columns))
+
+
+def inputs_digest(parts: DataFrame) -> DataFrame:
+    """One row (digest): SHA-256 over the names and digests of a close's inputs (name, digest), in order of names. A few rows by construction."""
+    line = F.concat_ws(":", "name", F.lower("digest"))
+    return parts.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"))
+
+
+def artifact_digest(kind: Column, members: dict[str, Column], hash_name: str = "sha256") -> Column:
+    """The digest of the member that an artifact's kind is known by; null for unknown kinds."""
+    return F.coalesce(*(F.when(kind == k, _digest(c, hash_name)) for k, c in members.items()))
+
+
+def bundles_hold(bundles: DataFrame, expected_root: str | None = None, hash_name: str = "keccak") -> DataFrame:
+    """`bundles` (digest, proof, root) with `status`: ok, 'root-mismatch' where the proof leads elsewhere, 'unexpected-root' where
+    the root is not the one expected, 'malformed' where a member is missing."""
+    got = F.lower(F.hex(proof_folder(hash_name)(F.coalesce("digest", F.lit(b"")), F.coalesce("proof", F.array().cast("array<binary>")))))
+    plain = lambda c: F.lower(F.regexp_replace(c, "^0x", ""))
+    missing = F.col("digest").isNull() | F.col("proof").isNull() | F.col("root").isNull()
+    status = F.when(missing, "malformed").when(got != plain(F.col("root")), "root-mismatch")
+    if expected_root is not None:
+        status = status.when(plain(F.col("root")) != plain(F.lit(expected_root)), "unexpected-root")
+    return bundles.withColumn("status", status.otherwise("ok"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions.text import memo_similarity, name_tokens, party_key, phrase_at, record_key
+from tallyweave.operators.ordered import running_sum
 from tallyweave.session import checkpointed
 
 KEY = ("date", "amount", "memo", "party")
@@ -187,9 +188,23 @@ def match_splits(single: DataFrame, parts: DataFrame, days: int = 3, most_parts:
     """(id, part_ids, confidence): a row of `single` that is the exact sum of 2 to `most_parts` rows of `parts` within `days`.
 
     The search declines where more than `most_candidates` rows could take part, rather than trying them all: that is the
-    operator's contract, as the reference defines it; splits_declined() has those rows. Each part is used once; rows are
-    served by date and id.
+    operator's contract, as the reference defines it; splits_declined() has those rows. Each part is used once: of rows whose
+    first choices share a part the one with the least id keeps it, and the others choose again among the parts left free,
+    until none of them finds a sum.
     """
+    chosen = None
+    while True:
+        found = checkpointed(_split_choices(single, parts, days, most_parts, most_candidates))
+        kept, lost = found.filter("ok"), found.filter("not ok")
+        chosen = kept if chosen is None else chosen.unionByName(kept)
+        if lost.isEmpty():
+            return chosen.select("id", "part_ids", F.lit(0.99).alias("confidence"))
+        single = single.join(lost.select("id"), "id", "left_semi")
+        parts = parts.join(kept.select(F.explode("part_ids").alias("id")), "id", "left_anti")
+
+
+def _split_choices(single: DataFrame, parts: DataFrame, days: int, most_parts: int, most_candidates: int) -> DataFrame:
+    """(id, part_ids, ok): the first choice of each row that has one, and whether no row of smaller id wants a part of it."""
     wanted, seen = _split_pools(single, parts, days)
     few = wanted.groupBy("id").agg(F.sum("below").alias("n")).filter(F.col("n").between(2, most_candidates)).select("id")
     # At most `most_candidates` rows per single row meet their parts by rank.
@@ -215,10 +230,8 @@ def match_splits(single: DataFrame, parts: DataFrame, days: int = 3, most_parts:
 
     kind = single.schema["id"].dataType.simpleString()
     found = pool.groupBy("id").applyInPandas(solve, f"id {kind}, part_ids array<{kind}>")
-    # A part may serve one row only: of those that want it the first by id keeps it.
     wanted = found.select("id", "part_ids", F.explode("part_ids").alias("part")).withColumn("first", F.min("id").over(Window.partitionBy("part")))
-    kept = wanted.groupBy("id").agg(F.bool_and(F.col("first") == F.col("id")).alias("ok"), F.first("part_ids").alias("part_ids")).filter("ok")
-    return kept.select("id", "part_ids", F.lit(0.99).alias("confidence"))
+    return wanted.groupBy("id").agg(F.first("part_ids").alias("part_ids"), F.bool_and(F.col("first") == F.col("id")).alias("ok"))
 
 
 def match_all(a: DataFrame, b: DataFrame, returned: Column, days: int = 3, most_parts: int = 3, most_candidates: int = 24) -> dict[str, DataFrame]:
@@ -259,7 +272,7 @@ def allocate(needs: DataFrame, own: DataFrame, pool: int) -> DataFrame:
     """`needs` (id, party, date, amount, memo) with from_own, from_pool and uncovered.
 
     Each party's own coverage (party, cents) serves its needs in record order; what stays short draws in the same order on
-    the common pool. Both are running sums: by party, and over the few short rows.
+    the common pool. Both are running sums: by party, and over all short rows by ranges of their order.
     """
     key = record_key(F.col("date"), F.col("amount"), F.col("memo"), F.col("party"))
     keyed = needs.withColumn("_party", party_key(F.col("party"))).withColumn("_key", key)
@@ -267,9 +280,8 @@ def allocate(needs: DataFrame, own: DataFrame, pool: int) -> DataFrame:
     x = keyed.join(cover, "_party", "left").withColumn("_own", F.coalesce("_own", F.lit(0)))
     before = F.coalesce(F.sum("amount").over(Window.partitionBy("_party").orderBy("_key", "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     x = x.withColumn("from_own", F.greatest(F.lit(0), F.least("amount", F.col("_own") - before)).cast("bigint")).withColumn("_short", F.col("amount") - F.col("from_own"))
-    short = x.filter("_short > 0")
-    drawn = F.coalesce(F.sum("_short").over(Window.orderBy("_key", "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pooled = short.select("id", F.greatest(F.lit(0), F.least("_short", F.lit(pool) - drawn)).cast("bigint").alias("from_pool"))
+    short = running_sum(x.filter("_short > 0").select("id", "_key", "_short"), "_short", "_key", "id")
+    pooled = short.select("id", F.greatest(F.lit(0), F.least("_short", F.lit(pool) - F.col("before"))).cast("bigint").alias("from_pool"))
     out = x.join(pooled, "id", "left").withColumn("from_pool", F.coalesce("from_pool", F.lit(0)).cast("bigint"))
     return out.select(*needs.columns, "from_own", "from_pool", (F.col("_short") - F.col("from_pool")).alias("uncovered"))
 

@@ -251,7 +251,7 @@ def embedded_xml(data: bytes) -> bytes | None:
     return None
 
 
-# The restricted path language: steps by child, parent `..`, attribute `@x`, descent `//` and the root `/`.
+# The restricted path language: steps by child, parent `..`, `ancestor::x`, attribute `@x`, descent `//` and the root `/`.
 
 
 def parse_path(path: str) -> tuple[bool, tuple[tuple[str, str], ...]]:
@@ -268,6 +268,8 @@ def parse_path(path: str) -> tuple[bool, tuple[tuple[str, str], ...]]:
             steps.append(("parent", ""))
         elif part == ".":
             steps.append(("self", ""))
+        elif m := re.fullmatch(r"ancestor::(?:[\w.-]+:)?([\w.-]+|\*)", part):
+            steps.append(("ancestor", m[1]))
         elif m := re.fullmatch(r"(@?)(?:[\w.-]+:)?([\w.-]+|\*)", part):
             steps.append(("attribute" if m[1] else "child", m[2]))
         else:
@@ -302,6 +304,14 @@ class Document:
                 here = [self.elements[c] for e in here for c in e.children if fits(self.elements[c])]
             elif axis == "parent":
                 here = list({e.parent: self.elements[e.parent] for e in here if e.parent >= 0}.values())
+            elif axis == "ancestor":
+                above: dict[int, Element] = {}
+                for e in here:
+                    while e.parent >= 0:
+                        e = self.elements[e.parent]
+                        if fits(e):
+                            above[e.number] = e
+                here = [above[k] for k in sorted(above)]
             elif axis == "attribute":
                 here = [v for e in here for k, v in e.attributes.items() if name in ("*", k)]
             elif axis == "descend":
@@ -314,6 +324,29 @@ class Document:
                 here = [seen[k] for k in sorted(seen)]
         return here
 
+    def insertion_line(self, path: str) -> int | None:
+        """Line of the deepest element of `path` that the document has: where the absent rest would have to be put.
+
+        Paths are of child steps, relative to the root or rooted. Null where the whole path is there, nothing below the
+        root is, a step fits several children (which one is meant is unknown), or the path has other steps.
+        """
+        rooted, steps = parse_path(path)
+        if not steps or any(axis != "child" for axis, _ in steps):
+            return None
+        names = [n for _, n in steps]
+        at = self.elements[0]
+        if rooted and names.pop(0) != at.name:
+            return None
+        found = 0
+        for name in names:
+            fits = [self.elements[c] for c in at.children if self.elements[c].name == name]
+            if len(fits) > 1:
+                return None
+            if not fits:
+                return at.line if found else None
+            at, found = fits[0], found + 1
+        return None
+
     def contexts(self, context: str) -> list[Element]:
         """Elements that a rule context fits: alternatives parted by `|`, rooted or by trailing names, found by their last name."""
         out: dict[int, Element] = {}
@@ -336,7 +369,7 @@ class Document:
 
 _COMPARE = {"=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
 _TEST = re.compile(
-    r"(?P<open>\()|(?P<close>\))|(?P<op><=|>=|!=|=|<|>)|(?P<word>\b(?:and|or)\b)|(?P<call>(?:not|count|exists|string-length|normalize-space|number|true|false)\s*\()|(?P<number>\d+(?:\.\d+)?)|(?P<text>'[^']*'|\"[^\"]*\")|(?P<path>(?:\.\.|[\w.:@*/-])+)|(?P<minus>-)|(?P<space>\s+)"
+    r"(?P<open>\()|(?P<close>\))|(?P<op><=|>=|!=|=|<|>)|(?P<word>\b(?:and|or)\b)|(?P<call>(?:not|count|exists|string-length|normalize-space|substring-after|number|true|false)\s*\()|(?P<comma>,)|(?P<number>\d+(?:\.\d+)?)|(?P<text>'[^']*'|\"[^\"]*\")|(?P<path>(?:\.\.|[\w.:@*/-])+)|(?P<minus>-)|(?P<space>\s+)"
 )
 
 
@@ -401,7 +434,12 @@ class Test:
         if kind == "call":
             self.at += 1
             name = text[:-1].strip()
-            args = () if self._peek()[0] == "close" else (self._or(),)
+            args = [] if self._peek()[0] == "close" else [self._or()]
+            while self._peek()[0] == "comma":
+                self._take("comma")
+                args.append(self._or())
+            if len(args) != {"true": 0, "false": 0, "substring-after": 2}.get(name, 1):
+                raise ValueError(f"{name} has another number of arguments")
             self._take("close")
             return ("call", name, *args)
         if kind == "number":
@@ -438,6 +476,8 @@ class Test:
             if name == "count":
                 return float(len(value))
             text = self._text(value, doc)
+            if name == "substring-after":
+                return text.partition(self._text(self._value(node[3], doc, at), doc))[2]
             if name == "normalize-space":
                 return " ".join(text.split())
             return float(len(text)) if name == "string-length" else self._number(text)
@@ -504,6 +544,34 @@ def evaluate(documents: DataFrame, key: str, content: str, rules: list[tuple[str
     return documents.select(key, content).mapInArrow(run, ddl)
 
 
+def severity_counts(violations: DataFrame, key: str) -> DataFrame:
+    """(key, severity, findings) over the result of evaluate()."""
+    return violations.groupBy(key, "severity").agg(F.count("*").alias("findings"))
+
+
+def insertion_points(documents: DataFrame, key: str, content: str, paths: list[str]) -> DataFrame:
+    """(key, path, line): for each of `paths` that a document lacks the line of the deepest element it has of it, where there is one.
+
+    Documents that are refused or null give no rows.
+    """
+    kind = documents.schema[key].dataType.simpleString()
+    ddl = f"`{key}` {kind}, path string, line int"
+    types = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    doc = Document(parse(data)) if data is not None else None
+                except Refused:
+                    doc = None
+                rows += [(k, p, line) for p in paths if doc is not None and (line := doc.insertion_line(p)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(types)], schema=types)
+
+    return documents.select(key, content).mapInArrow(run, ddl)
+
+
 def schematron_asserts(text: str) -> list[tuple[str, str, str, str]]:
     """(id, severity, context, test) of the asserts of a Schematron file."""
     elements = parse(text)

@@ -18,25 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType
 
 from tallyweave.functions.hashing import LEAF_TAG, NODE_TAG, keccak256, keccak_many
+from tallyweave.operators.ordered import numbered
 from tallyweave.session import checkpointed
 
 
-def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """`df` sorted by `order` with its position `pos` from 0: row numbers within range partitions plus the rows before them."""
-    parts = checkpointed(df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id() % (1 << 33)))
-    # One row per partition.
-    sizes = sorted((r["_part"], r["n"]) for r in parts.groupBy("_part").agg(F.count("*").alias("n")).collect())
-    before, total = {}, 0
-    for part, n in sizes:
-        before[part] = total
-        total += n
-    if not before:
-        return parts.withColumn("pos", F.lit(0).cast("bigint")).drop("_part", "_nth")
-    # A small table of offsets, not literals: with many partitions these would make a plan of that size.
-    shift = df.sparkSession.createDataFrame(list(before.items()), "_part int, _before bigint")
-    return parts.join(F.broadcast(shift), "_part").withColumn("pos", F.col("_nth") + F.col("_before")).drop("_part", "_nth", "_before")
-
-
 def _sha256_many(messages: list[bytes]) -> list[bytes]:
     return [hashlib.sha256(m).digest() for m in messages]
 

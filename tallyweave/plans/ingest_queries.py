@@ -194,3 +194,8 @@ _FAILED = f"""h AS (SELECT file_id, header_line, delim AS d FROM ingest_file WHE
   w AS (SELECT *, {_any_date("day")} IS NOT NULL AS dated, len(amounts) = 1 AND regexp_full_match(amounts[1], '[(][$]?[+-]?{_NUM}[)]|[$]?[+-]?{_NUM}') AS amounted FROM v)"""
 ORACLE["p3_found"] = f"""WITH {_FAILED} SELECT DISTINCT file_id, line_no, reason FROM (SELECT file_id, line_no, unnest(CASE WHEN NOT quoted THEN ['quoting'] WHEN NOT counted THEN ['column_count']
   ELSE list_concat(CASE WHEN coalesce(dated, false) THEN CAST([] AS VARCHAR[]) ELSE ['date'] END, CASE WHEN coalesce(amounted, false) THEN CAST([] AS VARCHAR[]) ELSE ['amount'] END) END) AS reason FROM w)"""
+_FIRST = lambda *names: f"f[coalesce({', '.join(f'list_position(names, {n!r})' for n in names)})]"
+ORACLE["p3_valid"] = f"""WITH {_FAILED}, a AS (SELECT *, amounts[1] AS t, list_filter(list_zip(names, f), lambda x: x[1] IN ('amount', 'debit', 'credit', 'withdrawal amt', 'deposit amt', 'charge', 'payment') AND x[2] <> '')[1][1] AS filled FROM w WHERE quoted AND counted AND dated AND amounted)
+  SELECT DISTINCT file_id, line_no, CAST({_any_date("day")} AS DATE) AS txn_date, CAST(CAST('0' || regexp_replace(t, '[^0-9.]', '', 'g') AS DECIMAL(30, 2)) * 100 AS BIGINT) * CASE WHEN contains(t, '-') <> starts_with(t, '(') THEN -1 ELSE 1 END
+    * CASE WHEN filled IN ('debit', 'withdrawal amt', 'charge') THEN -1 ELSE 1 END AS amount, {_FIRST("memo", "description", "details")} AS memo, {_FIRST("type")} AS kind, {_FIRST("name", "tenant")} AS party FROM a"""
+ORACLE["p2_tables"] = " UNION ALL ".join(f"SELECT '{name}' AS table_name, count(DISTINCT report_id) AS reports, count(*) AS rows FROM ({ORACLE[f'p2_{name}']})" for name in nested.TABLES if name != "shapes")

@@ -456,6 +456,18 @@ def drift_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.drift_violations(changes, no_added=True, allow_change=["journal-east", "lint-review"], frozen=["desk-notes/"])
 
 
+@query(f"""WITH {_BROKEN}, {_CHANGE}, x AS (SELECT 'license' AS hint, coalesce(license, '{manifest.NO_LICENSE}') AS value FROM h UNION ALL SELECT 'source', coalesce(source, '{manifest.NO_SOURCE}') FROM h UNION ALL SELECT 'all', '*' FROM h),
+  a AS (SELECT '{{"hint":"' || hint || '","value":' || CAST(to_json(value) AS VARCHAR) || ',"files":' || count(*) || '}}' AS t FROM x GROUP BY hint, value),
+  b AS (SELECT '{{"status":"' || CASE change WHEN 'unchanged' THEN 'ok' WHEN 'changed' THEN 'changed' WHEN 'removed' THEN 'missing' ELSE 'unexpected' END || '","files":' || count(*) || '}}' AS t FROM c GROUP BY change)
+  SELECT '{{"kind":"dataset-evidence","hints":[' || (SELECT string_agg(t, ',' ORDER BY t) FROM a) || '],"verified":[' || (SELECT string_agg(t, ',' ORDER BY t) FROM b) || '],"policy":[{{"verdict":"' || CASE WHEN (SELECT count(*) FROM v) = 0 THEN 'PASS' ELSE 'FAIL' END
+    || '","files":' || (SELECT count(*) FROM h) || ',"violations":' || (SELECT count(*) FROM v) || '}}]}}' AS document""")
+def dataset_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON document of a dataset's evidence: its hints, its files against its manifest, and the policy's verdict."""
+    hinted = _hinted(spark, sf_dir)
+    verdict = manifest.verdict(hinted, manifest.policy_violations(hinted, **_POLICY)).select("verdict", "files", "violations")
+    return reports.packet({"hints": manifest.histograms(hinted).select("hint", "value", "files"), "verified": manifest_verify_counts(spark, sf_dir).select("status", "files"), "policy": verdict}, "dataset-evidence")
+
+
 @query(f"WITH {_OLD}, {_HINTED} SELECT h.path FROM h ANTI JOIN o USING (path)")
 def unknown_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.unknown_hints(_versions(spark, sf_dir)[0], _hinted(spark, sf_dir)).select("path")
@@ -891,6 +903,20 @@ def path_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.evaluate(_documents(spark, sf_dir), "o_orderkey", "content", rules).select("o_orderkey", "rule")
 
 
+@query("""SELECT o_orderkey, severity, count(*) AS findings FROM (SELECT o_orderkey, 'fatal' AS severity FROM orders ANTI JOIN lineitem ON l_orderkey = o_orderkey
+  UNION ALL SELECT o_orderkey, 'warning' FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber > 1) GROUP BY 1, 2""")
+def path_severities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed tests by document and severity: of decimal places, of ancestors and of existence."""
+    rules = [("lines", "fatal", "/Invoice", "exists(cac:InvoiceLine)"), ("places", "fatal", "cbc:LineExtensionAmount", "string-length(substring-after(., '.')) <= 2"), ("inside", "warning", "cac:InvoiceLine/cbc:ID", "exists(ancestor::ubl:Invoice/cbc:ID) and . <= 1")]
+    return markup.severity_counts(markup.evaluate(_documents(spark, sf_dir), "o_orderkey", "content", rules), "o_orderkey")
+
+
+@query("""SELECT o_orderkey, 'cac:LegalMonetaryTotal/cbc:PayableAmount' AS path, 1 AS line FROM orders UNION ALL SELECT o_orderkey, '/Invoice/cac:InvoiceLine/cbc:Note', 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1 HAVING count(*) = 1""")
+def insertion_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where absent members would have to be put: a note only where the document has one line."""
+    return markup.insertion_points(_documents(spark, sf_dir), "o_orderkey", "content", ["cac:LegalMonetaryTotal/cbc:PayableAmount", "/Invoice/cac:InvoiceLine/cbc:Note", "cbc:BuyerReference", "/Invoice/cbc:ID"])
+
+
 @query("""SELECT e.l_orderkey AS o_orderkey, count(DISTINCT l_returnflag) AS categories, bool_or(l_returnflag = 'R') AS has_r FROM lineitem e SEMI JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""")
 def category_flattening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Categories of each order's nested lines, flattened and tested within the row."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions.money import format_cents
 from tallyweave.functions.text import natural_key
 from tallyweave.operators.findings import severity_rank
-from tallyweave.operators.merkle import numbered
+from tallyweave.operators.ordered import numbered
 
 _LEVELS = {"fatal": "error", "warning": "warning", "information": "note"}
 _GITLAB = {"fatal": "blocker", "warning": "minor", "information": "info"}

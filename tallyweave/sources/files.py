@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import subprocess
 from collections.abc import Iterator
 from fnmatch import fnmatch
@@ -45,6 +46,12 @@ def scan_directory(spark: SparkSession, folder: str, glob: str | None = None) ->
     return x.filter(~F.col("path").rlike(r"(?:^|/)\."))
 
 
+def discover(spark: SparkSession, folder: str, suffixes: tuple[str, ...]) -> DataFrame:
+    """(path, length) of the files below a folder whose names end so, in whatever case, by path; dotfiles and dot folders are left out."""
+    ends = F.lower("path").rlike("(?:" + "|".join(re.escape(s.lower()) for s in suffixes) + ")$")
+    return scan_directory(spark, folder).filter(ends).select("path", "length").orderBy("path")
+
+
 def directory_manifest(files: DataFrame) -> DataFrame:
     """(path, content_hash, leaf) in Keccak of the result of scan_directory(); the leaf binds path and content."""
     digest = files.select("path", keccak256(F.col("content")).alias("digest"))

@@ -19,7 +19,8 @@ def chain(observations: DataFrame, key: str, at: str, body: str) -> DataFrame:
     """Journal entries of a stream of observations: each chained on its journal's last, whose number and hash are the state.
 
     Within a micro-batch observations are appended in order of `at`, then body. Works on streams only; state is keyed by
-    journal, so journals are spread over tasks.
+    journal, so journals are spread over tasks. A journal's observations of one micro-batch are ordered in memory: bound
+    the batches of large sources by their own options (maxFilesPerTrigger, maxBytesPerTrigger, maxOffsetsPerTrigger).
     """
 
     def append(group: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -204,3 +204,61 @@ def test_report_forms_and_manifest_document(spark, tmp_path):
     text = "\n".join(p.read_text() for p in sorted((tmp_path / "m").glob("part-*")))
     assert [x["relPath"] for x in json.loads(text)["files"]] == [f"p/{k:03d}" for k in range(50)]
     assert [r.line for r in reports.manifest_lines(m.limit(0)).collect()] == ['{"files":[]}']
+
+
+def test_labels_first_rows_and_digests(spark, rows):
+    df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("a", 1, "b"), (None, 5, None)], "k string, n int, v string")
+    assert rows(evidence.first_per(df, "k", "n")) == [("a", 1, "b"), (None, 5, None)]
+    assert [r[0] for r in df.select(evidence.label(F.lit("  "))).limit(1).collect()] == ["(no name)"]
+    parts = spark.createDataFrame([("book", "BB"), ("bank", "aa")], "name string, digest string")
+    assert evidence.inputs_digest(parts).first().digest == hashlib.sha256(b"bank:aa\nbook:bb").hexdigest()
+    d = df.select(evidence.artifact_digest(F.lit("seal"), {"seal": F.lit("s"), "proof": F.lit("p")}).alias("a"), evidence.artifact_digest(F.lit("z"), {"seal": F.lit("s")}).alias("b")).first()
+    assert d.a == "0x" + hashlib.sha256(b"s").hexdigest() and d.b is None
+
+
+def test_proof_bundles(spark):
+    leaves = spark.createDataFrame([(bytes([k]),) for k in range(5)], "digest binary")
+    root = merkle.sorted_root(leaves, "sha256").first().root
+    good = merkle.sorted_proofs(leaves, "sha256").withColumn("root", F.lit("0x" + root.upper()))
+    bad = good.limit(1).withColumn("digest", F.lit(b"zz")).unionByName(good.limit(1).withColumn("proof", F.lit(None).cast("array<binary>")))
+    status = lambda df, **kw: sorted(r.status for r in evidence.bundles_hold(df, hash_name="sha256", **kw).collect())
+    assert status(good) == ["ok"] * 5 and status(bad) == ["malformed", "root-mismatch"] and set(status(good, expected_root="00")) == {"unexpected-root"}
+
+
+def test_time_stamp_tokens(spark):
+    from datetime import datetime
+
+    from tallyweave.operators import der
+
+    def tlv(tag, *parts):
+        body = b"".join(parts)
+        n = len(body)
+        return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x80 + (n.bit_length() + 7) // 8]) + n.to_bytes((n.bit_length() + 7) // 8, "big")) + body
+
+    def oid(text):
+        a, b, *rest = map(int, text.split("."))
+        out = b""
+        for v in (a * 40 + b, *rest):
+            chunk = [v & 0x7F]
+            while v := v >> 7:
+                chunk.append(v & 0x7F | 0x80)
+            out += bytes(reversed(chunk))
+        return tlv(6, out)
+
+    def made(time=b"20260102030405.25Z", kind=der.TIME_STAMP, digest=b"\xab" * 200):
+        info = tlv(0x30, tlv(2, b"\x01"), oid("1.2.3.4"), tlv(0x30, tlv(0x30, oid("2.16.840.1.101.3.4.2.1")), tlv(4, digest)), tlv(2, b"\x00\xff"), tlv(0x18, time))
+        signed = tlv(0x30, tlv(2, b"\x03"), tlv(0x31), tlv(0x30, oid(kind), tlv(0xA0, tlv(4, info))), tlv(0x31))
+        return tlv(0x30, oid(der.SIGNED_DATA), tlv(0xA0, signed))
+
+    good = made()
+    data = [good, good[:-1], good + b"x", made(time=b"20261302030405Z"), made(time=b"20260102030405"), made(kind="1.2.3"), b"", None, b"\x30\x80\x00\x00"]
+    got = [r.t for r in spark.createDataFrame([(k, d) for k, d in enumerate(data)], "k int, d binary").orderBy("k").select(der.token("d").alias("t")).collect()]
+    assert (got[0].policy, got[0].hash_name, got[0].message_digest, got[0].serial, got[0].generated_at, got[0].error) == ("1.2.3.4", "sha256", "ab" * 200, "255", datetime(2026, 1, 2, 3, 4, 5, 250_000), None)
+    assert all(r.error and r.policy is None and r.generated_at is None for r in got[1:]) and got[7].error == "missing"
+
+
+def test_files_are_found_by_suffix(spark, rows, tmp_path):
+    for name in ("a/x.XML", "a/b/y.pdf", "z.txt", ".h/q.xml", "a/.s.xml"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"1" if name != "a/b/y.pdf" else b"")
+    assert rows(files.discover(spark, str(tmp_path), (".xml", ".pdf"))) == [("a/b/y.pdf", 0), ("a/x.XML", 1)]

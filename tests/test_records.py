@@ -165,6 +165,13 @@ def test_splits_decline_and_serve_once(spark):
     assert ledger.match_splits(one, parts.limit(0)).count() == 0
 
 
+def test_rows_that_lose_a_part_choose_again(spark):
+    one = _tx(spark, *[(k, 5, 60, "", "", "") for k in (1, 2, 3, 4)])
+    parts = _tx(spark, *[(10 + k, 5, v, "", "", "") for k, v in enumerate((10, 50, 20, 40, 25, 35, 59))])
+    got = sorted((r.id, tuple(r.part_ids)) for r in ledger.match_splits(one, parts).collect())
+    assert got == [(1, (10, 11)), (2, (12, 13)), (3, (14, 15))]
+
+
 def test_declined_splits_are_reported(spark):
     parts = _tx(spark, *[(10 + k, 5, v, "", "", "") for k, v in enumerate((10, 20, 30, 40, 50))])
     out = ledger.match_all(_tx(spark, (1, 5, 60, "", "", ""), (2, 20, 60, "", "", "")), parts, F.lit(False), most_candidates=4)
@@ -372,3 +379,34 @@ def test_findings(spark, rows):
     assert rows(found.agreement(f, f.filter("source = 'y'"))) == [("BR-10", 0, 1, 0), ("BR-9", 1, 1, 0)]
     assert rows(found.outside_list(f, "rule", spark.createDataFrame([("BR-9",), (None,)], "code string")), "rule") == [("BR-10",)]
     assert rows(found.roll_up(f.withColumn("a", F.lit(-2)), "rule", "a"), "rule", "count", "impact") == [("BR-10", 1, 2), ("BR-9", 3, 6), (None, 4, 8)]
+
+
+def test_ancestors_places_and_insertion_lines():
+    from tallyweave.operators import markup
+
+    doc = markup.Document(markup.parse("<a>\n<p>\n<q>1.25</q>\n</p>\n<l><q>1</q></l>\n<l/>\n</a>"))
+    q, other = doc.named["q"]
+    holds = lambda t, at: markup.Test(t).holds(doc, at)
+    assert holds("exists(ancestor::x:p)", q) and not holds("exists(ancestor::p)", other) and holds("exists(ancestor::a/l/q)", q) and holds("count(ancestor::*) = 2", q)
+    assert holds("string-length(substring-after(., '.')) <= 2", q) and not holds("string-length(substring-after(., '.')) <= 1", q) and holds("string-length(substring-after(., '.')) = 0", other)
+    for bad in ("substring-after(.)", "not(a, b)", "true(a)", "matches(., 'x')"):
+        with pytest.raises(ValueError):
+            markup.Test(bad)
+    lines = {p: doc.insertion_line(p) for p in ("p/z", "/a/p/q/z", "p/q", "z", "l/z", "/b/p/z", "p//z", "/a")}
+    assert lines == {"p/z": 2, "/a/p/q/z": 3, "p/q": None, "z": None, "l/z": None, "/b/p/z": None, "p//z": None, "/a": None}
+
+
+def test_positions_and_running_sums_over_ranges(spark):
+    from tallyweave.operators.ordered import numbered, running_sum
+
+    rng = random.Random(6)
+    data = [(k, rng.randint(0, 3), rng.choice([None, *range(9)])) for k in range(500)]
+    df = spark.createDataFrame(data, "id int, k int, v bigint").repartition(5)
+    order = sorted(data, key=lambda r: (r[1], r[0]))
+    assert {(r.id, r.pos) for r in numbered(df, "k", "id").collect()} == {(r[0], n) for n, r in enumerate(order)}
+    want, total = set(), 0
+    for i, _, v in order:
+        want.add((i, total))
+        total += v or 0
+    assert {(r.id, r.before) for r in running_sum(df, "v", "k", "id").collect()} == want
+    assert numbered(df.limit(0), "id").count() == 0 and running_sum(df.limit(0), "v", "id").columns == ["id", "k", "v", "before"]
