@@ -11,13 +11,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.functions.text import memo_similarity, name_tokens, party_key, phrase_at, record_key
+from tallyweave.functions.text import memo_similarity, name_tokens, party_key, record_key
 from tallyweave.operators.ordered import running_sum
 from tallyweave.session import checkpointed
 
 KEY = ("date", "amount", "memo", "party")
 #: Batches in which amounts are matched one to one; all rows of an amount are in one of them.
 PARTS = 1024
+#: The commonest words of memos, of which attribute() asks whether a name begins with them.
+COMMON_WORDS = 1000
 
 
 def party_balances(rows: DataFrame) -> DataFrame:
@@ -257,15 +259,25 @@ def match_all(a: DataFrame, b: DataFrame, returned: Column, days: int = 3, most_
 def attribute(texts: DataFrame, names: DataFrame) -> DataFrame:
     """(id, name): for each memo the longest name in it as a run of whole words, null if none.
 
-    `texts` has id and memo, `names` the one column name. First words make the join an equi-join; longer means more words,
-    then more letters, then the least name.
+    `texts` has id and memo, `names` the one column name. Longer means more words, then more letters, then the least name.
+    Runs of as many words as some name has meet the best name of the same words: a run joins one row at most, however many
+    names begin with a word. Runs are left out where they begin with a common word of the memos with which no name begins.
     """
-    words = texts.select("id", name_tokens(F.col("memo")).alias("words"))
-    probe = words.select("id", "words", F.explode(F.array_distinct("words")).alias("first"))
-    index = names.select("name", name_tokens(F.col("name")).alias("phrase")).distinct().filter(F.size("phrase") > 0).withColumn("first", F.get("phrase", F.lit(0)))
-    hits = probe.join(index, "first").filter(phrase_at(F.col("words"), F.col("phrase")))
-    best = hits.groupBy("id").agg(F.min(F.struct((-F.size("phrase")).alias("w"), (-F.length("name")).alias("l"), "name")).alias("best"))
-    return texts.select("id").join(best.select("id", F.col("best.name").alias("name")), "id", "left")
+    phrases = names.select("name", name_tokens(F.col("name")).alias("phrase"))
+    sizes = phrases.agg(F.array_remove(F.collect_set(F.size("phrase")), 0).alias("sizes"))
+    index = phrases.groupBy(F.array_join("phrase", " ").alias("run")).agg(F.min(F.struct((-F.length("name")).alias("l"), "name")).alias("named"))
+    # Outer, as a filter for memos without words would go below a distinct of `texts` and have it made twice.
+    words = texts.select("id", name_tokens(F.col("memo")).alias("words")).select("id", "words", F.posexplode_outer("words").alias("at", "word"))
+    # Which words are common is an estimate; that no name begins with them is not, so no hit is lost. Used once: two estimates may differ.
+    common = words.agg(F.expr(f"approx_top_k(word, {COMMON_WORDS})").alias("top")).select(F.explode("top.item").alias("word"))
+    idle = common.join(phrases.select(F.get("phrase", F.lit(0)).alias("word")).distinct(), "word", "left_anti")
+    places = words.join(F.broadcast(idle), "word", "left_anti").crossJoin(F.broadcast(sizes))
+    fit = F.filter("sizes", lambda n: n <= F.size("words") - F.col("at"))
+    runs = places.select("id", "words", "at", F.explode(fit).alias("w")).select("id", "w", F.array_join(F.slice("words", F.col("at") + 1, F.col("w")), " ").alias("run"))
+    hits = runs.join(index, "run").select("id", F.struct((-F.col("w")).alias("w"), "named.l", "named.name").alias("hit"))
+    every = texts.select("id", F.lit(True).alias("is_text")).unionByName(hits, allowMissingColumns=True)
+    best = every.withColumn("best", F.min("hit").over(Window.partitionBy("id"))).filter("is_text")
+    return best.select("id", F.when(F.col("id").isNotNull(), F.col("best.name")).alias("name"))
 
 
 def allocate(needs: DataFrame, own: DataFrame, pool: int) -> DataFrame:

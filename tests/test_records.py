@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import random
+import threading
 from datetime import date, datetime
 
 import pytest
@@ -203,6 +204,32 @@ def test_attribution_and_allocation(spark, rows):
     assert ledger.allocate(needs.limit(0), own, 5).count() == 0
 
 
+def test_attribution_of_many_names_with_one_first_word(spark):
+    n, group = 30_000, "one first word"
+    names = spark.range(n).select(F.concat(F.lit("R. Kes"), "id").alias("name"))
+    texts = spark.range(n).select("id", F.concat(F.lit("ZEL FROM R KES"), "id").alias("memo"))
+    timer = threading.Timer(60, lambda: spark.sparkContext.cancelJobGroup(group))  # pairing by first words takes minutes
+    spark.sparkContext.setJobGroup(group, group, True)
+    timer.start()
+    try:
+        right = F.count_if(F.col("name") == F.concat(F.lit("R. Kes"), "id"))
+        assert tuple(ledger.attribute(texts, names).agg(F.count("*"), right).first()) == (n, n)
+    finally:
+        timer.cancel()
+        spark.sparkContext.setJobGroup("other", "other")
+
+
+def test_attribution_of_odd_rows(spark, rows):
+    texts = spark.createDataFrame([(1, "zel from ann"), (1, "zel to bo"), (2, "from " * 3000 + "ann"), (None, "ann"), (3, "zel zel"), (4, "--"), (4, None), (5, "zel from bo lee")], "id long, memo string")
+    names = lambda *x: spark.createDataFrame([(n,) for n in x], "name string")
+    # Of names of the same words the one with more letters, then the least; `zel` is common and begins a name, `from` is not.
+    found = ledger.attribute(texts, names("Ann", "ann.", "-ann", "Bo", "Zel zel", "bo from", None, "--"))
+    assert rows(found) == [(1, "-ann"), (1, "-ann"), (2, "-ann"), (3, "Zel zel"), (4, None), (4, None), (5, "Bo"), (None, None)]
+    nothing = [(i, None) for i in (1, 1, 2, 3, 4, 4, 5, None)]
+    assert rows(ledger.attribute(texts, names())) == rows(ledger.attribute(texts, names(None, "--"))) == nothing
+    assert ledger.attribute(texts.limit(0), names("Ann")).count() == 0
+
+
 # --- Manifests
 
 
